@@ -37,7 +37,7 @@ GATHER_BYTES = 16 << 20
 #: Helper columns that stand beside a caller's own.
 ID, KEY, SPANS = "__skyledger_id", "__skyledger_key", "__skyledger_spans"
 
-_INTERVALS = "id long, key long, first int, last int"
+_INTERVALS = "id long, key int, first int, last int"
 _PACK = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
 
 
@@ -67,28 +67,38 @@ def super_kmers(words: Words, window: int, mini: int) -> tuple[np.ndarray, np.nd
     return first, stop - first, least[first]
 
 
-def _pack_blob(items: list, compressor) -> bytes:
-    head = np.array([(i, k, p, c, len(b)) for b, i, k, p, c in items], np.int64)
-    return compressor.compress(np.int64(len(items)).tobytes() + head.T.tobytes() + b"".join(x[0] for x in items))
+def _pack_blob(items: list, decided: bool, compressor) -> bytes:
+    """Columns of (packed, id, key, place, windows): ids as differences, packed strings a line each.
+
+    What was decided on the spot has no string and carries its number of windows instead.
+    """
+    items.sort(key=lambda x: x[1])
+    n = len(items)
+    ids = np.diff(np.array([x[1] for x in items], np.int64), prepend=np.int64(0))
+    narrow = [np.array([x[c] for x in items], np.int64).astype(np.int32).tobytes() for c in ((2, 3, 4) if decided else (2, 3))]
+    return compressor.compress(b"".join([np.int64(n).tobytes(), ids.tobytes(), *narrow, b"" if decided else b"\n".join(x[0] for x in items)]))
 
 
-def _open_blob(blob: bytes, decompressor) -> tuple[np.ndarray, bytes]:
+def _open_blob(blob: bytes, decided: bool, decompressor) -> tuple[np.ndarray, bytes]:
+    """(ids, keys, places and, of what was decided, windows) as int64 rows, and the packed strings."""
     raw = decompressor.decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    return np.frombuffer(raw, np.int64, 5 * n, 8).reshape(5, n), raw[8 + 40 * n :]
+    n, columns = int(np.frombuffer(raw, np.int64, 1)[0]), 3 if decided else 2
+    ids = np.cumsum(np.frombuffer(raw, np.int64, n, 8))
+    narrow = np.frombuffer(raw, np.int32, columns * n, 8 + 8 * n).reshape(columns, n)
+    return np.vstack([ids, narrow.astype(np.int64)]), raw[8 + (8 + 4 * columns) * n :]
 
 
 def _cut(window: int, mini: int, buckets: int):
     """Rows (bucket, blob), and those of bucket -1: intervals that the block itself has decided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = zstandard.ZstdCompressor(level=1)
+        compressor = zstandard.ZstdCompressor(level=4)
         waiting: dict[int, list] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
             keys = sorted(waiting)
-            out = pa.record_batch([pa.array(keys, pa.int64()), pa.array([_pack_blob(waiting[k], compressor) for k in keys], pa.binary())], schema=_PACK)
+            out = pa.record_batch([pa.array(keys, pa.int64()), pa.array([_pack_blob(waiting[k], k < 0, compressor) for k in keys], pa.binary())], schema=_PACK)
             waiting.clear()
             return out
 
@@ -127,10 +137,10 @@ def _cut(window: int, mini: int, buckets: int):
 def _repeats(head: np.ndarray, text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(item, first window, window after the last) of runs of windows that a smaller doc_id has too."""
     order = np.argsort(head[0], kind="stable")
-    length = head[4]
-    at = np.concatenate([[0], np.cumsum(length)])
-    data = b"".join([text[at[i] : at[i + 1]] for i in order.tolist()])
-    offsets = np.concatenate([[0], np.cumsum(length[order])])
+    lines = text.split(b"\n")
+    lines = [lines[i] for i in order.tolist()]
+    data = b"".join(lines)
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))])
     words = Words(np.frombuffer(data, np.uint8), offsets, NOT_SPACE)
     row = words.row_of_word()
     h = window_hashes(words.hashes(), window)
@@ -169,18 +179,18 @@ def _judge(window: int):
         decompressor = zstandard.ZstdDecompressor()
 
         def judged(blobs: list[bytes], decided: bool) -> pa.RecordBatch | None:
-            opened = [_open_blob(b, decompressor) for b in blobs]
+            opened = [_open_blob(b, decided, decompressor) for b in blobs]
             head = np.concatenate([h for h, _ in opened], axis=1)
             if decided:
                 item, begin, stop = np.arange(head.shape[1]), np.zeros(head.shape[1], np.int64), head[3]
             elif head.shape[1] < 2 or (head[0] == head[0][0]).all():
                 return None
             else:
-                item, begin, stop = _repeats(head, b"".join(t for _, t in opened), window)
+                item, begin, stop = _repeats(head, b"\n".join(t for _, t in opened), window)
             if not len(item):
                 return None
             at = head[2][item]
-            return pa.record_batch([pa.array(head[0][item]), pa.array(head[1][item]), pa.array((at + begin).astype(np.int32)), pa.array((at + stop + window - 1).astype(np.int32))], names=["id", "key", "first", "last"])
+            return pa.record_batch([pa.array(head[0][item]), pa.array(head[1][item].astype(np.int32)), pa.array((at + begin).astype(np.int32)), pa.array((at + stop + window - 1).astype(np.int32))], names=["id", "key", "first", "last"])
 
         bucket, blobs = None, []
         for batch in batches:
@@ -197,11 +207,11 @@ def _judge(window: int):
 
 
 def repeated_spans(docs: DataFrame, window: int = 13, mini: int = 3, bucket_bytes: int = 4 << 20) -> DataFrame:
-    """(id, key, first, last): word ranges that windows of smaller doc_ids cover; key is xxhash64 of the text.
+    """(id, key, first, last): word ranges that windows of smaller doc_ids cover; key is a hash of the text, which tells rows of one doc_id apart.
 
     bucket_bytes sets how many buckets the measured bytes of all texts are dealt to.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("id"), F.xxhash64("text").alias("key"), "text")
+    texts = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("id"), F.hash("text").alias("key"), "text")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, int(total * 3 // bucket_bytes))
     packed = texts.mapInArrow(_cut(window, mini, buckets), "bucket long, blob binary")
@@ -246,7 +256,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, mini: int = 3, with_text:
     """
     spans = repeated_spans(docs, window, mini).groupBy("id", "key").agg(F.collect_list(F.struct("first", "last")).alias(SPANS))
     columns = docs.columns
-    left = docs.withColumns({ID: F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), KEY: F.xxhash64("text")})
+    left = docs.withColumns({ID: F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), KEY: F.hash("text")})
     joined = left.join(spans.withColumnsRenamed({"id": ID, "key": KEY}), [ID, KEY], "left").drop(ID, KEY)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
     schema = ", ".join([*kept, *["text string"] * with_text, "_n_words long", "_n_removed long", "_kept_sha256 string"])
