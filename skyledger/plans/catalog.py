@@ -1,9 +1,443 @@
 """All reference queries by name, with their SQL twins."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+import tempfile
+import uuid
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import scalars as S
+from ..operators import curation, metrics, relational, sequence
+from ..streaming import usage
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _long(*names: str) -> list:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+# ---- routes: edges, roll-ups, geography -------------------------------------------------
+
+
+def _legs(spark: SparkSession, sf: str) -> DataFrame:
+    nation = lambda k, n: _t(spark, sf, "nation").select(F.col("n_nationkey").alias(k), F.col("n_name").alias(n))
+    lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return (
+        lines.join(_t(spark, sf, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(_t(spark, sf, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(nation("s_nationkey", "dep"), "s_nationkey").join(nation("c_nationkey", "arr"), "c_nationkey").filter("dep <> arr")
+    )
+
+
+_LEGS = """legs AS (SELECT a.n_name AS dep, b.n_name AS arr, a.n_nationkey AS dk, b.n_nationkey AS ak, o_orderdate, l_quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey
+ JOIN customer ON o_custkey = c_custkey JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON c_nationkey = b.n_nationkey WHERE a.n_name <> b.n_name)"""
+
+
+@_query(f"WITH {_LEGS} SELECT least(dep, arr) AS a, greatest(dep, arr) AS b, count(*) AS n, count(DISTINCT dep) AS dirs FROM legs GROUP BY 1, 2")
+def route_rollup(spark, sf):
+    return _legs(spark, sf).groupBy(F.least("dep", "arr").alias("a"), F.greatest("dep", "arr").alias("b")).agg(F.count("*").alias("n"), F.countDistinct("dep").alias("dirs"))
+
+
+@_query(f"WITH {_LEGS}, r AS (SELECT least(dep, arr) AS a, greatest(dep, arr) AS b, count(*) AS n FROM legs GROUP BY 1, 2) SELECT * FROM r ORDER BY n DESC, a, b LIMIT 20")
+def route_pairs_top(spark, sf):
+    return route_rollup(spark, sf).select("a", "b", "n").orderBy(F.desc("n"), "a", "b").limit(20)
+
+
+@_query(f"WITH {_LEGS} SELECT strftime(o_orderdate, '%Y-%m') AS month, dep, arr, count(*) AS n FROM legs GROUP BY ALL")
+def route_months(spark, sf):
+    return _legs(spark, sf).groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "dep", "arr").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_LEGS} SELECT DISTINCT dep AS code FROM legs WHERE dep NOT IN (SELECT n_name FROM nation WHERE n_regionkey < 3)")
+def unknown_nodes(spark, sf):
+    known = _t(spark, sf, "nation").filter("n_regionkey < 3").select(F.col("n_name").alias("code"))
+    return _legs(spark, sf).select(F.col("dep").alias("code")).distinct().join(F.broadcast(known), "code", "left_anti")
+
+
+def _nodes(spark, sf):
+    k = F.col("n_nationkey")
+    return _t(spark, sf, "nation").select("n_name", (k * 7 % 140 - 70).cast("double").alias("lat"), (k * 29 % 360 - 180).cast("double").alias("lon"))
+
+
+_PAIR = "WITH n AS (SELECT n_name, CAST(n_nationkey * 7 % 140 - 70 AS DOUBLE) AS lat, CAST(n_nationkey * 29 % 360 - 180 AS DOUBLE) AS lon FROM nation)"
+
+
+@_query(f"""{_PAIR} SELECT a.n_name AS a, b.n_name AS b, round(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))), 3) AS km
+ FROM n a JOIN n b ON a.n_name < b.n_name""")
+def haversine_km(spark, sf):
+    a, b = (_nodes(spark, sf).withColumnsRenamed({"n_name": s, "lat": f"lat_{s}", "lon": f"lon_{s}"}) for s in "ab")
+    km = S.haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(km, 3).alias("km"))
+
+
+@_query(f"""{_PAIR} SELECT a.n_name AS a, b.n_name AS b, round(fmod(degrees(atan2(sin(radians(b.lon - a.lon)) * cos(radians(b.lat)), cos(radians(a.lat)) * sin(radians(b.lat)) - sin(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lon - a.lon)))) + 360, 360), 4) AS course
+ FROM n a JOIN n b ON a.n_name < b.n_name""")
+def initial_course(spark, sf):
+    a, b = (_nodes(spark, sf).withColumnsRenamed({"n_name": s, "lat": f"lat_{s}", "lon": f"lon_{s}"}) for s in "ab")
+    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(S.initial_course(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), 4).alias("course"))
+
+
+@_query()
+def route_geojson(spark, sf):
+    """A feature for each route: a line of 65 points."""
+    top = route_pairs_top(spark, sf)
+    a, b = (_nodes(spark, sf).withColumnsRenamed({"n_name": s, "lat": f"lat_{s}", "lon": f"lon_{s}"}) for s in "ab")
+    line = F.transform(S.great_circle(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), lambda p: F.array(F.round(p["lon"], 5), F.round(p["lat"], 5)))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), line.alias("coordinates")).alias("geometry"), F.struct("a", "b", "n").alias("properties"))
+    return top.join(F.broadcast(a), "a").join(F.broadcast(b), "b").select("a", "b", F.to_json(feature).alias("feature"))
+
+
+# ---- lookups, labels, copies ------------------------------------------------------------
+
+
+@_query("""WITH k AS (SELECT p_brand AS code, 0 AS priority, p_partkey, p_name FROM part UNION ALL SELECT p_type, 1, p_partkey, p_name FROM part UNION ALL SELECT CAST(p_size AS VARCHAR), 2, p_partkey, p_name FROM part)
+ SELECT code, CAST(priority AS BIGINT) AS priority, p_partkey FROM k QUALIFY row_number() OVER (PARTITION BY code ORDER BY priority, p_name, p_partkey) = 1""")
+def code_lookup_priority(spark, sf):
+    part = _t(spark, sf, "part")
+    codes = part.select(F.explode(F.array("p_brand", "p_type", F.col("p_size").cast("string"))).alias("code"))
+    found = relational.prioritised_lookup(codes, part, ["p_brand", "p_type", "p_size"], "p_name", "p_partkey")
+    return found.select("code", F.col("priority").cast("long").alias("priority"), "p_partkey")
+
+
+@_query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') AND contains(lower(p_name), 'e') ORDER BY starts_with(lower(p_name), 'a') DESC, p_name, p_partkey LIMIT 25")
+def name_search_rank(spark, sf):
+    folded = F.lower("p_name")
+    hit = F.forall(F.split(F.lit("a e"), " "), lambda w: F.contains(folded, w))
+    return _t(spark, sf, "part").filter(hit).orderBy(F.desc(F.startswith(folded, F.lit("a"))), "p_name", "p_partkey").limit(25).select("p_partkey", "p_name")
+
+
+@_query("SELECT source, count(*) AS files, count(l.doc_id) AS labelled, count(*) - count(l.doc_id) AS unlabelled, count(*) FILTER (l.quality = 0) AS to_review FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source")
+def label_tally(spark, sf):
+    joined = _t(spark, sf, "documents").select("doc_id", "source").join(_t(spark, sf, "labels").select(F.col("doc_id"), "quality", F.lit(1).alias("hit")), "doc_id", "left")
+    return joined.groupBy("source").agg(F.count("*").alias("files"), F.count("hit").alias("labelled"), (F.count("*") - F.count("hit")).alias("unlabelled"), F.count_if(F.col("quality") == 0).alias("to_review"))
+
+
+@_query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled_docs(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", "source").join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@_query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def reviewed_only(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", "lang").join(_t(spark, sf, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
+
+
+@_query("SELECT md5(text) AS digest, count(*) AS copies, min(doc_id) AS first_id, CAST(sum(doc_id) AS BIGINT) AS id_sum FROM documents GROUP BY 1 HAVING count(*) > 1")
+def dup_groups(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest")).groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.sum("doc_id").alias("id_sum")).filter("copies > 1")
+
+
+@_query("SELECT min(doc_id) AS doc_id, md5(text) AS digest FROM documents GROUP BY md5(text)")
+def dedupe_keep_first(spark, sf):
+    return _t(spark, sf, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"))
+
+
+@_query("SELECT min(doc_id) AS doc_id, md5(text) AS digest FROM documents WHERE source >= 'src5' AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE source < 'src5') GROUP BY 2")
+def store_dedup_insert(spark, sf):
+    docs = _t(spark, sf, "documents").select("doc_id", "source", F.md5("text").alias("digest"))
+    return relational.insert_new(docs.filter("source < 'src5'"), docs.filter("source >= 'src5'"), F.col("digest"), "doc_id").select("doc_id", "digest")
+
+
+@_query("""WITH b AS (SELECT doc_id, md5(text) AS d FROM documents WHERE doc_id % 3 <> 0), a AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN md5(lang) ELSE md5(text) END AS d FROM documents WHERE doc_id % 5 <> 0)
+ SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, CASE WHEN b.d IS NULL THEN 'added' WHEN a.d IS NULL THEN 'removed' WHEN a.d <> b.d THEN 'changed' ELSE 'same' END AS change FROM b FULL JOIN a ON a.doc_id = b.doc_id""")
+def sync_diff(spark, sf):
+    docs = _t(spark, sf, "documents")
+    before = docs.filter("doc_id % 3 <> 0").select("doc_id", F.md5("text").alias("d"))
+    after = docs.filter("doc_id % 5 <> 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.md5("lang")).otherwise(F.md5("text")).alias("d"))
+    return relational.changes(before, after, "doc_id", "d")
+
+
+_FNV = "list_reduce(list_concat([CAST(2166136261 AS BIGINT)], [CAST(ascii(substr(md5(text), CAST(i AS INT), 1)) AS BIGINT) for i in range(1, 33)]), lambda h, x: (xor(h, x) * 16777619) & 4294967295)"
+
+
+@_query(f"SELECT doc_id, CASE WHEN {_FNV} % 1000 < 800 THEN 'train' ELSE 'val' END AS split FROM documents")
+def split_train_val(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", curation.split_of(F.md5("text")).alias("split"))
+
+
+@_query("SELECT doc_id, CAST(('0x' || substr(md5(text), 1, 2)) AS BIGINT) % 4 = 0 AS in_test FROM documents")
+def testset_hash_mod(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", (F.conv(F.substring(F.md5("text"), 1, 2), 16, 10).cast("long") % 4 == 0).alias("in_test"))
+
+
+@_query("""WITH c AS (SELECT lang, source, unnest(string_split(substr(text, 1, length(text)), ' ')) AS cell FROM documents), f AS (SELECT cell, count(*) AS f FROM c GROUP BY cell),
+ s AS (SELECT lang, source, round(avg(ln(1 + f)), 6) AS score FROM c JOIN f USING (cell) GROUP BY ALL) SELECT lang, source, score FROM s QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, source) = 1""")
+def canonical_copy(spark, sf):
+    cells = _t(spark, sf, "documents").select("lang", "source", F.explode(F.split("text", " ")).alias("cell"))
+    return curation.canonical_copies(cells, "lang", "source", "cell").select("lang", "source", "score")
+
+
+_LINES = """l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), i AS (SELECT * FROM l WHERE length(line) >= 20), s AS (SELECT doc_id, count(*) AS n FROM i GROUP BY 1),
+ p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM i x JOIN i y ON x.line = y.line AND x.doc_id < y.doc_id GROUP BY 1, 2),
+ q AS (SELECT a, b, common, common / least(u.n, v.n) AS share FROM p JOIN s u ON u.doc_id = a JOIN s v ON v.doc_id = b WHERE common / least(u.n, v.n) >= 0.5)"""
+
+
+def _line_items(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line") >= 20)
+
+
+@_query(f"WITH {_LINES} SELECT * FROM q")
+def near_dup_pairs(spark, sf):
+    return relational.near_pairs(_line_items(spark, sf), "doc_id", "line")
+
+
+@_query(f"WITH RECURSIVE {_LINES}, e AS (SELECT a, b FROM q UNION SELECT b, a FROM q), r AS (SELECT doc_id AS node, doc_id AS c FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON r.c = e.a) SELECT node, min(c) AS cluster FROM r GROUP BY node")
+def near_dup_clusters(spark, sf):
+    return curation.clusters(_t(spark, sf, "documents").select(F.col("doc_id").alias("node")), near_dup_pairs(spark, sf))
+
+
+@_query()
+def folds(spark, sf):
+    return curation.folds(_t(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("size")), "source", "size", 5)
+
+
+@_query("SELECT source, lang, n FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1")
+def majority_lang(spark, sf):
+    return relational.majority(_t(spark, sf, "documents"), ["source"], "lang")
+
+
+@_query("SELECT doc_id, source FROM documents QUALIFY (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 10 = 0")
+def evenly_sampled(spark, sf):
+    return sequence.every_nth(_t(spark, sf, "documents").select("doc_id", "source"), ["source"], ["doc_id"], 10)
+
+
+# ---- accuracy ---------------------------------------------------------------------------
+
+
+@_query("SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS BIGINT) AS d FROM part")
+def edit_distance(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", F.levenshtein("p_name", "p_type").cast("long").alias("d"))
+
+
+def _pairs(spark, sf):
+    o = _t(spark, sf, "orders")
+    p = lambda c, n: F.when(F.col("o_orderkey") % n == 0, F.concat(F.col(c), F.lit("x"))).when(F.col("o_orderkey") % n == 1, F.lit(None)).otherwise(F.col(c))
+    return o.select(p("o_orderstatus", 7).alias("p_status"), F.col("o_orderstatus").alias("e_status"), p("o_orderpriority", 11).alias("p_priority"), F.col("o_orderpriority").alias("e_priority"))
+
+
+_PAIRS = """p AS (SELECT 'status' AS field, CASE WHEN o_orderkey % 7 = 0 THEN o_orderstatus || 'x' WHEN o_orderkey % 7 = 1 THEN '' ELSE o_orderstatus END AS p, o_orderstatus AS e FROM orders
+ UNION ALL SELECT 'priority', CASE WHEN o_orderkey % 11 = 0 THEN o_orderpriority || 'x' WHEN o_orderkey % 11 = 1 THEN '' ELSE o_orderpriority END, o_orderpriority FROM orders)"""
+
+
+@_query(f"WITH {_PAIRS} SELECT field, CAST(count(*) FILTER (p = e) AS BIGINT) AS matches, count(*) AS total, CAST(sum(levenshtein(p, e)) AS BIGINT) AS lev_sum, floor(count(*) FILTER (p = e) / count(*) * 10000 + 0.5) / 10000 AS rate FROM p GROUP BY field")
+def field_accuracy(spark, sf):
+    return metrics.field_accuracy(_pairs(spark, sf), ["status", "priority"], [])
+
+
+@_query(f"""WITH {_PAIRS}, k AS (SELECT field, CASE WHEN p = e THEN 'match' WHEN p = '' THEN 'missing' WHEN levenshtein(p, e) <= 2 THEN 'close' ELSE 'different' END AS kind FROM p)
+ SELECT field, kind, count(*) AS n, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, kind) AS rank FROM k GROUP BY field, kind QUALIFY rank <= 3""")
+def error_top3(spark, sf):
+    return relational.top_per_group(metrics.error_kinds(_pairs(spark, sf), ["status", "priority"]), ["field"], 3, F.desc("n"), "kind")
+
+
+@_query("SELECT event_type, CAST(user_id AS VARCHAR) AS kind, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, user_id % 3 AS user_id, value FROM events) GROUP BY GROUPING SETS ((), (event_type), (user_id))")
+def benchmark_grouping_sets(spark, sf):
+    e = _t(spark, sf, "events").select("event_type", (F.col("user_id") % 3).cast("string").alias("kind"), "value")
+    return e.groupingSets([[], ["event_type"], ["kind"]], "event_type", "kind").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+_RUNS = """b AS (SELECT doc_id, n_chars % 90 AS br, 100 AS bt FROM documents WHERE doc_id % 4 <> 0), a AS (SELECT doc_id, n_chars % 91 AS ar, 100 AS atot FROM documents WHERE doc_id % 5 <> 0),
+ c AS (SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, br, coalesce(ar, 0) AS ar, coalesce(bt, atot) AS t, CASE WHEN bt IS NULL THEN 'new' WHEN atot IS NULL THEN 'failed' WHEN ar > br THEN 'better' WHEN ar < br THEN 'worse' ELSE 'same' END AS state FROM b FULL JOIN a ON a.doc_id = b.doc_id)"""
+
+
+def _compared(spark, sf):
+    d = _t(spark, sf, "documents")
+    run = lambda keep, m: d.filter(f"doc_id % {keep} <> 0").select("doc_id", (F.col("n_chars") % m).alias("right"), F.lit(100).cast("long").alias("rows"))
+    return metrics.compared_runs(run(4, 90), run(5, 91), "doc_id", "right", "rows")
+
+
+@_query(f"WITH {_RUNS} SELECT state, count(*) AS n, CAST(coalesce(sum(br), 0) AS BIGINT) AS before_right, CAST(sum(ar) AS BIGINT) AS after_right FROM c GROUP BY state")
+def run_compare(spark, sf):
+    return _compared(spark, sf).groupBy("state").agg(F.count("*").alias("n"), F.coalesce(F.sum("before_right"), F.lit(0)).alias("before_right"), F.sum("after_right").alias("after_right"))
+
+
+@_query(f"""WITH {_RUNS}, l AS (SELECT doc_id % 6 AS layout, sum(br) AS b, sum(ar) AS a, sum(t) AS t FROM c WHERE state <> 'new' GROUP BY 1)
+ SELECT CAST(sum(b) AS BIGINT) AS b, CAST(sum(a) AS BIGINT) AS a, CAST(sum(t) AS BIGINT) AS t, sum(b) - sum(a) <= 0.005 * sum(t) AND max(CAST(b - a > greatest(50, 0.1 * b) AS INT)) = 0 AS passes FROM l""")
+def run_gate(spark, sf):
+    return metrics.gate(_compared(spark, sf), F.col("doc_id") % 6)
+
+
+@_query("SELECT event_type, list_sort(list(value))[CAST(floor(count(value) / 2) AS INT) + 1] AS median FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def median_upper(spark, sf):
+    return metrics.upper_median(_t(spark, sf, "events"), ["event_type"], "value")
+
+
+@_query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS top, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+def percentiles(spark, sf):
+    q = lambda p, n: F.round(F.percentile("value", p), 6).alias(n)
+    return _t(spark, sf, "events").groupBy("event_type").agg(q(0.5, "p50"), q(0.95, "p95"), F.max("value").alias("top"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@_query()
+def align_rows(spark, sf):
+    c = _t(spark, sf, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 1).alias("initial"))
+    read = c.filter((F.col("conv_id") + F.col("turn")) % 5 != 0)
+    return sequence.aligned(read, c, "conv_id", "turn", ["role", "initial"])
+
+
+# ---- sequences --------------------------------------------------------------------------
+
+_W = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+@_query("SELECT user_id, d AS session, count(*) AS n FROM (SELECT *, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS d FROM events) WHERE d > 0 GROUP BY ALL")
+def duty_sessions(spark, sf):
+    s = sequence.sessions(_t(spark, sf, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup")
+    return s.filter("session > 0").groupBy("user_id", "session").agg(F.count("*").alias("n"))
+
+
+@_query(f"""WITH m AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) {_W} OR row_number() {_W} = 1 AS fresh FROM events), i AS (SELECT *, CAST(sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM m)
+ SELECT user_id, island, min(event_type) AS event_type, count(*) AS n FROM i GROUP BY user_id, island""")
+def hotel_islands(spark, sf):
+    return sequence.islands(_t(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type").groupBy("user_id", "island").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"))
+
+
+@_query("SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_view FROM events")
+def carry_forward(spark, sf):
+    e = _t(spark, sf, "events").withColumn("v", F.when(F.col("event_type") == "view", F.col("value")))
+    return sequence.carried(e, ["user_id"], ["ts", "event_id"], "v", "last_view").select("event_id", "last_view")
+
+
+@_query(f"SELECT event_id, coalesce(CASE WHEN event_type <> 'error' THEN event_type END, lead(event_type) {_W}) AS filled FROM events")
+def lead_fill(spark, sf):
+    e = _t(spark, sf, "events").withColumn("filled", F.when(F.col("event_type") != "error", F.col("event_type")))
+    return sequence.filled_from_next(e, ["user_id"], ["ts", "event_id"], "filled", "event_type").select("event_id", "filled")
+
+
+@_query(f"""WITH b AS (SELECT *, coalesce(event_id % 31 < lag(event_id % 31) {_W}, false) AS back FROM events) SELECT event_id, CAST(sum(CAST(back AS INT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS months FROM b""")
+def day_rollover(spark, sf):
+    e = _t(spark, sf, "events").withColumn("day", F.col("event_id") % 31)
+    return sequence.rollovers(e, ["user_id"], ["ts", "event_id"], "day", "months").select("event_id", "months")
+
+
+@_query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth FROM events")
+def nth_uid(spark, sf):
+    return sequence.nth_key(_t(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", "nth")
+
+
+@_query("""SELECT e.event_id, max(v.ts) AS nearest_ts FROM events e LEFT JOIN events v ON v.user_id = e.user_id AND v.event_type = 'view' AND v.ts <= e.ts WHERE e.event_type = 'purchase' GROUP BY e.event_id""")
+def nearest_prior_event(spark, sf):
+    e = _t(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    found = relational.nearest_before(e.filter("event_type = 'purchase'").drop("event_type"), e.filter("event_type = 'view'").drop("event_type"), ["user_id"], "ts", "value")
+    return found.select("event_id", "nearest_ts")
+
+
+@_query("SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS used, used <= 3 AS admitted FROM events")
+def quota_spend(spark, sf):
+    e = _t(spark, sf, "events").withColumns({"day": F.to_date("ts"), "at": F.struct("ts", "event_id")})
+    return sequence.spend(e, ["user_id", "day"], "at", 3).select("event_id", "used", "admitted")
+
+
+# ---- billing and usage ------------------------------------------------------------------
+
+
+@_query("""SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS currency, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus <> 'F' THEN CAST(o_totalprice AS DECIMAL(14,2)) END) AS DOUBLE) AS paid,
+ CAST(sum(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(14,2)) END) AS DOUBLE) AS refunded FROM orders GROUP BY 1, 2""")
+def month_summary(spark, sf):
+    money = F.col("o_totalprice").cast("decimal(14,2)")
+    total = lambda c, n: F.sum(F.when(c, money)).cast("double").alias(n)
+    return _t(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderpriority").alias("currency")).agg(F.count("*").alias("n"), total(F.col("o_orderstatus") != "F", "paid"), total(F.col("o_orderstatus") == "F", "refunded"))
+
+
+@_query("SELECT count(*) FILTER (o_orderstatus = 'O') AS active, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice / CASE WHEN o_orderpriority LIKE '1%' THEN 12 ELSE 1 END END), 2) AS mrr FROM orders")
+def mrr(spark, sf):
+    active = F.col("o_orderstatus") == "O"
+    price = F.col("o_totalprice") / F.when(F.col("o_orderpriority").startswith("1"), 12).otherwise(1)
+    return _t(spark, sf, "orders").agg(F.count_if(active).alias("active"), F.round(F.sum(F.when(active, price)), 2).alias("mrr"))
+
+
+@_query("SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, count(*) AS requests, count(*) FILTER (event_type = 'view') AS reads FROM events GROUP BY 1, 2")
+def usage_by_day(spark, sf):
+    return _t(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id").agg(F.count("*").alias("requests"), F.count_if(F.col("event_type") == "view").alias("reads"))
+
+
+@_query("SELECT date_trunc('hour', ts) AS hour, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def hourly_counts(spark, sf):
+    return _t(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").alias("hour").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@_query("SELECT o_custkey, strftime(max(CAST(o_orderdate AS DATE)) + 3, '%Y-%m-%d') AS plan_until, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS plan FROM orders GROUP BY o_custkey")
+def plan_until(spark, sf):
+    return _t(spark, sf, "orders").groupBy("o_custkey").agg(F.date_format(F.date_add(F.max(F.to_date("o_orderdate")), 3), "yyyy-MM-dd").alias("plan_until"), F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("plan"))
+
+
+@_query("SELECT o_orderkey, 'RP-' || strftime(o_orderdate, '%Y') || '-' || lpad(CAST(row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey) AS VARCHAR), 6, '0') AS number FROM orders")
+def invoice_numbers(spark, sf):
+    nth = F.row_number().over(W.partitionBy(F.year("o_orderdate")).orderBy("o_orderdate", "o_orderkey"))
+    return _t(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("RP-"), F.year("o_orderdate").cast("string"), F.lit("-"), F.lpad(nth.cast("string"), 6, "0")).alias("number"))
+
+
+@_query("SELECT s.status, count(o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) s(status) LEFT JOIN orders ON o_orderstatus = s.status GROUP BY 1")
+def status_counts_with_zeros(spark, sf):
+    return relational.with_zeros(_t(spark, sf, "orders").withColumnRenamed("o_orderstatus", "status"), "status", ["F", "O", "P", "X"])
+
+
+@_query("SELECT o_orderkey, strftime(CAST(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH AS DATE) + CAST(day(o_orderdate) - 1 AS INT), '%Y-%m-%d') AS next_day FROM orders")
+def add_month_overflow(spark, sf):
+    return _t(spark, sf, "orders").select("o_orderkey", F.date_format(S.add_months_overflowing(F.to_date("o_orderdate"), F.lit(1)), "yyyy-MM-dd").alias("next_day"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, lpad(CAST(CAST(floor(l_quantity * 37 / 60) AS BIGINT) AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(l_quantity * 37 % 60 AS INT) AS VARCHAR), 2, '0') AS block FROM lineitem")
+def duration_text(spark, sf):
+    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.hhmm((F.col("l_quantity") * 37).cast("int")).alias("block"))
+
+
+@_query("SELECT event_id, list_sort(json_keys(props)) AS keys FROM events")
+def json_props(spark, sf):
+    return _t(spark, sf, "events").select("event_id", F.array_sort(F.json_object_keys("props")).alias("keys"))
+
+
+@_query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<[a-zA-Z]+')) AS BIGINT) AS tags FROM pages")
+def html_tokens(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<[a-zA-Z]+"), F.lit(0))).cast("long").alias("tags"))
+
+
+@_query("SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(p_brand, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', '9', 'g') AS shape FROM (SELECT p_partkey, substr(p_brand, 1, 1) || right(p_brand, 1) AS p_brand FROM part)")
+def word_shape(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", S.shape(F.concat(F.substring("p_brand", 1, 1), F.expr("right(p_brand, 1)"))).alias("shape"))
+
+
+@_query("SELECT vec_id, label, round(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) for x in embedding]), 4) AS norm2 FROM embeddings")
+def embedding_norms(spark, sf):
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return _t(spark, sf, "embeddings").select("vec_id", "label", F.round(square, 4).alias("norm2"))
+
+
+@_query("SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, count(*) AS requests FROM events GROUP BY 1, 2")
+def stream_daily_usage(spark, sf):
+    """The daily counters as a stream over the folder's file, run to its end."""
+    schema = _t(spark, sf, "events").schema
+    calls = usage.replayed(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyledger-")).rstrip("/")
+    name = f"usage_{uuid.uuid4().hex}"
+    found = usage.drained(usage.tumbling_usage(calls, "ts", "user_id"), name, f"{folder}/{name}")
+    return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "user_id", "requests")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
