@@ -44,6 +44,22 @@ def packed(row: np.ndarray, feature: np.ndarray, n: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
+def without_copies(rows: list[bytes], least: int = 8) -> list[bytes]:
+    """Rows less those that share, under one of three hashes, their ``least`` smallest features with an earlier row.
+
+    A training sample would otherwise learn the ordinary words of a text that was copied many times.
+    """
+    seen: set[tuple[int, bytes]] = set()
+    out = []
+    for row in rows:
+        feature = np.frombuffer(row, np.uint32)
+        signs = {(k, np.sort(feature * np.uint32(k))[:least].tobytes()) for k in (2654435761, 2246822519, 3266489917)}
+        if not signs & seen:
+            out.append(row)
+        seen |= signs
+    return out
+
+
 class Examples:
     """Sparse rows of presence features."""
 

@@ -7,7 +7,8 @@ again, and where that estimate turns negative the step goes back up (the non-neg
 correction), so the model cannot win by memorising the positives.
 
 Training reads a bounded sample, the least hashes of doc_id among the rows that may be
-learnt from: ``positives`` confirmed and ``unlabelled`` other texts. Scoring reads every whole text.
+learnt from: ``positives`` confirmed and ``unlabelled`` other texts, near copies in it
+taken once. Scoring reads every whole text.
 
 Defined results: null and empty texts get the score of no features; without a confirmed
 toxic row every score is 0; equal texts have equal scores.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hashed import Adam, Examples, Scorer, packed, presence, sigmoid, telling
+from .hashed import Adam, Examples, Scorer, packed, presence, sigmoid, telling, without_copies
 from .textbatch import ALNUM, blocks
 
 #: Bounds of the training sample in documents.
@@ -89,7 +90,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     texts = docs.select("doc_id", "text").join(F.broadcast(table), F.col("doc_id") == F.col("__skyledger_id")).select("label", "text")
     rows = texts.mapInArrow(_featurise, "label int, features binary").collect()
     rows.sort(key=lambda r: (r.label, bytes(r.features)))  # the order of tasks does not matter
-    known, other = (Examples([bytes(r.features) for r in rows if r.label == x]) for x in (1, 0))
+    known, other = (Examples(without_copies([bytes(r.features) for r in rows if r.label == x])) for x in (1, 0))
     if not known.n or not other.n:
         return None
     return fit_nnpu(known, other, min(max(toxic / total, 0.001), 0.9))
