@@ -11,7 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import curation, metrics, relational, sequence
+from ..functions import sun
+from ..operators import curation, layouts, metrics, relational, sequence
+from ..sources import sinks
+from ..sources import text as T
 from ..streaming import usage
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -435,6 +438,115 @@ def stream_daily_usage(spark, sf):
     return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "user_id", "requests")
 
 
+# ---- loose text, calendars, layouts, night ----------------------------------------------
+
+
+@_query("""SELECT doc_id, CASE WHEN length(text) - length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0E-\\x1F]', '', 'g')) > 0.1 * length(text) THEN 'binary' ELSE 'text' END AS kind,
+ CAST(len(string_split_regex(text, '\\r\\n|\\r|\\n')) AS BIGINT) AS lines FROM documents""")
+def content_kinds(spark, sf):
+    raw = F.col("text").cast("binary")
+    return _t(spark, sf, "documents").select("doc_id", T.content_kind(raw).alias("kind"), F.size(T.lines_of(T.decoded(raw))).cast("long").alias("lines"))
+
+
+@_query("""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line FROM documents WHERE NOT contains(text, chr(9)))
+ SELECT doc_id, count(*) FILTER (trim(line) <> '') AS rows, CAST(sum(len(regexp_extract_all(line, '\\S+(?: \\S+)*'))) AS BIGINT) AS cells FROM l GROUP BY doc_id""")
+def fixed_width_grid(spark, sf):
+    cut = _t(spark, sf, "documents").filter(~F.contains("text", F.lit("\t"))).select("doc_id", T.grid(F.col("text")).alias("g"))
+    size = F.aggregate("g", F.lit(0), lambda s, r: s + F.size(r)).cast("long")
+    return cut.select("doc_id", F.size(F.filter("g", lambda r: F.size(r) > 0)).cast("long").alias("rows"), size.alias("cells"))
+
+
+@_query(f"""WITH {_LEGS}, r AS (SELECT dep AS name, ('N' || lpad(substr(dep, 8), 2, '0')) AS d, ('N' || lpad(substr(arr, 8), 2, '0')) AS a, count(*) AS n FROM legs GROUP BY ALL), s AS (SELECT name, d, a, sum(n) AS n FROM r WHERE d <> a GROUP BY ALL)
+ SELECT name, string_agg(d || '-' || a || CASE WHEN n > 1 THEN '*' || CAST(CAST(n AS BIGINT) AS VARCHAR) ELSE '' END, ',' ORDER BY d || '-' || a || CASE WHEN n > 1 THEN '*' || CAST(CAST(n AS BIGINT) AS VARCHAR) ELSE '' END) AS list FROM s GROUP BY name""")
+def route_param(spark, sf):
+    code = lambda c: F.concat(F.lit("N"), F.lpad(F.substring(c, 8, 9), 2, "0"))
+    routes = _legs(spark, sf).select(F.col("dep").alias("name"), code("dep").alias("dep"), code("arr").alias("arr"), F.lit(1).alias("n")).filter("dep <> arr")
+    return sinks.route_lists(routes, "name")
+
+
+@_query(f"""WITH {_LEGS} SELECT dep AS name, ('N' || lpad(substr(dep, 8), 2, '0')) AS dep, ('N' || lpad(substr(arr, 8), 2, '0')) AS arr, count(*) AS n FROM legs WHERE ('N' || lpad(substr(dep, 8), 2, '0')) <> ('N' || lpad(substr(arr, 8), 2, '0')) GROUP BY ALL""")
+def route_param_read(spark, sf):
+    lists = route_param(spark, sf).select(F.concat_ws("|", "name", F.lit("#4a90e2"), "list").alias("text"))
+    return T.routes_of(lists, "text")
+
+
+def _user_events(spark, sf):
+    e = _t(spark, sf, "events")
+    text = lambda v: F.lit(v)
+    return e.select(
+        "user_id", "event_id", F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("uid"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("start"),
+        F.timestamp_add("MINUTE", F.lit(90), F.date_trunc("minute", "ts")).cast("timestamp_ntz").alias("end"), F.lit(False).alias("all_day"), F.lit(True).alias("utc"),
+        F.concat("event_type", text("; of, "), "props").alias("summary"), F.concat(text("Zürich "), F.col("user_id").cast("string")).alias("location"), F.concat("props", text("\n"), "event_type").alias("description"),
+        F.col("event_type").alias("kind"), (F.col("event_id") % 3 == 0).alias("tentative"),
+    )
+
+
+@_query("""SELECT user_id, 'event-' || event_id AS uid, event_type || '; of, ' || props AS summary, 'Zürich ' || user_id AS location, props || chr(10) || event_type AS description, event_type AS kind,
+ CASE WHEN event_id % 3 = 0 THEN 'TENTATIVE' ELSE 'CONFIRMED' END AS status, strftime(ts, '%Y-%m-%d %H:%M') AS starts, strftime(ts + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M') AS ends FROM events""")
+def calendar_round_trip(spark, sf):
+    """Events written as one calendar text a user, and read again."""
+    texts = sinks.calendar_texts(_user_events(spark, sf), "user_id", "event_id")
+    at = lambda c, n: F.date_format(c, "yyyy-MM-dd HH:mm").alias(n)
+    return T.calendar_events(texts, "calendar", "user_id").select("user_id", "uid", "summary", "location", "description", "kind", "status", at("start", "starts"), at("end", "ends"))
+
+
+@_query("""SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) || ',' || '"' || o_orderpriority || ', ""' || o_orderstatus || repeat('"', 3) || ',' || strftime(o_orderdate, '%Y-%m-%d') AS line FROM orders""")
+def invoice_csv(spark, sf):
+    o = _t(spark, sf, "orders").withColumns({"note": F.concat("o_orderpriority", F.lit(', "'), "o_orderstatus", F.lit('"')), "day": F.date_format("o_orderdate", "yyyy-MM-dd")})
+    return o.select("o_orderkey", sinks.csv_lines(o, "o_orderkey", "note", "day").alias("line"))
+
+
+@_query("""SELECT p_partkey, '<tr><td class="n">' || p_partkey || '</td><td>' || p_name || '</td><td>&lt;' || p_brand || ' &amp; &quot;' || p_type || '&quot;&gt;</td></tr>' AS html FROM part""")
+def preview_rows(spark, sf):
+    note = F.concat(F.lit("<"), "p_brand", F.lit(' & "'), "p_type", F.lit('">'))
+    return _t(spark, sf, "part").select("p_partkey", sinks.html_row(F.col("p_partkey"), F.array("p_name", note)).alias("html"))
+
+
+@_query("SELECT event_id, round(fmod(fmod(epoch(ts) / 60.0 + (user_id % 360 - 180) * 4, 1440) + 1440, 1440), 3) AS local FROM events")
+def local_mean_time(spark, sf):
+    return _t(spark, sf, "events").select("event_id", F.round(sun.local_minutes(_epoch("ts"), F.col("user_id") % 360 - 180), 3).alias("local"))
+
+
+def _epoch(c: str):
+    return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+
+
+@_query("""WITH b AS (SELECT o_orderkey, o_orderkey % 40 * 60 AS block, CASE WHEN o_orderkey % 3 = 0 THEN 700 END AS up, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 40 * 60 - 100 END AS down FROM orders),
+ e AS (SELECT *, coalesce(up, 600) AS u, coalesce(down, block - 300) AS d FROM b)
+ SELECT o_orderkey, CAST(CASE WHEN d <= u AND up IS NULL THEN 0 ELSE u END AS BIGINT) AS takeoff, CAST(CASE WHEN d <= u AND down IS NULL THEN block ELSE d END AS BIGINT) AS landing FROM e""")
+def airborne_times(spark, sf):
+    key = F.col("o_orderkey")
+    block = key % 40 * 60
+    up = sun.airborne(F.lit(0).cast("long"), block, F.when(key % 3 == 0, F.lit(700).cast("long")), F.when(key % 5 == 0, block - 100))
+    return _t(spark, sf, "orders").select("o_orderkey", up.alias("up")).select("o_orderkey", "up.*")
+
+
+@_query()
+def night_segments(spark, sf):
+    """Night of a flight between every two nations at 800 km/h from noon UTC; trigonometry to the second, so tested on fixtures."""
+    a, b = (_nodes(spark, sf).withColumnsRenamed({"n_name": s, "lat": f"lat_{s}", "lon": f"lon_{s}"}) for s in "ab")
+    flights = a.join(F.broadcast(b), F.col("a") < F.col("b"))
+    place = [F.col(c) for c in ("lat_a", "lon_a", "lat_b", "lon_b")]
+    timed = flights.withColumn("start", F.lit(1718452800).cast("long")).withColumn("stop", F.col("start") + 60 + F.floor(S.haversine_km(*place) * 4.5))
+    found = timed.withColumn("n", sun.night_edges(*place, F.col("start"), F.col("stop")))
+    return found.select("a", "b", (F.col("stop") - F.col("start")).alias("flown_s"), sun.night_seconds(F.col("n"), F.col("start"), F.col("stop")).alias("night_s"), F.size("n.edges").cast("long").alias("changes"))
+
+
+@_query("""WITH s AS (SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS d, l_quantity FROM lineitem)
+ SELECT l_orderkey, l_linenumber, 'utc-crew-legs' AS layout, strftime(d, '%-d %b %y') AS date, strftime(d, '%a') AS day, '[CA - A ' || l_linenumber || '][FO - B]' AS crew, '[Block: ' || CAST(CAST(l_quantity AS INT) AS VARCHAR) || ']' AS info,
+ '10:05 Z' AS begin, '01:30 Z +1' AS "end" FROM s""")
+def layout_rows(spark, sf):
+    """Line items printed as a crew-leg export, a file an order, and read by their layout."""
+    li = _t(spark, sf, "lineitem")
+    head = F.array(*map(F.lit, ["departUTC", "arriveUTC", "fltNum", "origin", "destination", "acRegistration", "acType", "crew", "hours"]))
+    day = lambda n: F.date_format(F.date_add(F.to_date("l_shipdate"), n), "yyyy-MM-dd")
+    number = F.col("l_linenumber").cast("string")
+    cells = F.array(F.concat(day(0), F.lit("T10:05")), F.concat(day(1), F.lit("T01:30")), number, F.lit("VIE"), F.lit("PRN"), F.lit(""), F.lit(""), F.concat(F.lit("CA: A "), number, F.lit(" / FO: B")), F.col("l_quantity").cast("int").cast("string"))
+    body = li.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("int").alias("line"), cells.alias("cells"))
+    heads = li.select(F.col("l_orderkey").alias("file")).distinct().select("file", F.lit(0).alias("line"), head.alias("cells"))
+    return layouts.schedule_rows(heads.unionByName(body)).select(F.col("file").alias("l_orderkey"), F.col("line").alias("l_linenumber"), "layout", "date", "day", "crew", "info", "begin", "end")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
