@@ -33,6 +33,8 @@ from .textbatch import NO_ID, NOT_SPACE, Words, blocks, doc_ids, mix, window_has
 LONGEST = 1024
 #: Packed bytes that a map task gathers before it sends blobs.
 GATHER_BYTES = 16 << 20
+#: Bytes of a bucket whose windows are hashed at once.
+JUDGED_BYTES = 1 << 20
 
 #: Helper columns that stand beside a caller's own.
 ID, KEY, SPANS = "__skyledger_id", "__skyledger_key", "__skyledger_spans"
@@ -134,6 +136,18 @@ def _cut(window: int, mini: int, buckets: int):
     return run
 
 
+def _windows(data: bytes, offsets: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Hash, item, first and last byte of every window, hashed a block of items at a time: the hashing needs many times a block's bytes."""
+    items = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    parts = []
+    for first, _, words in blocks(items, NOT_SPACE, limit=JUDGED_BYTES):
+        row = words.row_of_word()
+        h = window_hashes(words.hashes(), window)
+        at = np.flatnonzero(row[: len(h)] == row[window - 1 :])
+        parts.append((h[at], first + row[at], offsets[first] + words.start[at], offsets[first] + words.end[at + window - 1]))
+    return tuple(map(np.concatenate, zip(*parts)))
+
+
 def _repeats(head: np.ndarray, text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(item, first window, window after the last) of runs of windows that a smaller doc_id has too."""
     order = np.argsort(head[0], kind="stable")
@@ -141,11 +155,7 @@ def _repeats(head: np.ndarray, text: bytes, window: int) -> tuple[np.ndarray, np
     lines = [lines[i] for i in order.tolist()]
     data = b"".join(lines)
     offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))])
-    words = Words(np.frombuffer(data, np.uint8), offsets, NOT_SPACE)
-    row = words.row_of_word()
-    h = window_hashes(words.hashes(), window)
-    at = np.flatnonzero(row[: len(h)] == row[window - 1 :])
-    h, item = h[at], row[at]
+    h, item, start, end = _windows(data, offsets, window)
     doc = head[0][order][item]
     sort = np.argsort(h, kind="stable")  # items stand by doc_id, so a group's first has the smallest
     hs = h[sort]
@@ -155,16 +165,15 @@ def _repeats(head: np.ndarray, text: bytes, window: int) -> tuple[np.ndarray, np
     if not later.any():
         return (np.zeros(0, np.int64),) * 3
     mine, theirs = sort[later], leader[later]
-    a, b = words.start[at[mine]], words.end[at[mine] + window - 1]
-    c, d = words.start[at[theirs]], words.end[at[theirs] + window - 1]
+    a, b, c, d = start[mine], end[mine], start[theirs], end[theirs]
     same = np.array([data[i:j] == data[k:m] for i, j, k, m in zip(a.tolist(), b.tolist(), c.tolist(), d.tolist())], bool)
-    flag = np.zeros(len(at), bool)
+    flag = np.zeros(len(h), bool)
     flag[mine[same]] = True
     if not same.all():  # two windows of one hash: tell them apart by their words
         seen: dict[bytes, int] = {}
         clash = np.flatnonzero(np.isin(h, h[mine[~same]]))
         for w in clash.tolist():  # by doc_id
-            key = data[words.start[at[w]] : words.end[at[w] + window - 1]]
+            key = data[start[w] : end[w]]
             flag[w] = doc[w] > seen.setdefault(key, int(doc[w]))
     run = np.flatnonzero(flag)
     new = np.concatenate([[True], (np.diff(run) != 1) | (np.diff(item[run]) != 0)])

@@ -83,7 +83,9 @@ class Words:
         if not hasattr(self, "_cum"):
             up, _ = _powers.get(len(self.data) + 1)
             self._cum = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(np.take(_BYTE, self.data) * up[: len(self.data)], out=self._cum[1:])
+            terms = np.take(_BYTE, self.data)
+            terms *= up[: len(self.data)]
+            np.cumsum(terms, out=self._cum[1:])
         return self._cum
 
     def hashes(self, start: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
