@@ -79,7 +79,7 @@ def loose_time(text: Column) -> Column:
 
 def bracket_tags(text: Column) -> Column:
     """map of ``[Key: value]`` tags; of a repeated key the last stays."""
-    keys = F.transform(F.regexp_extract_all(text, F.lit(r"\[([A-Za-z][\w ]*): ([^\]]*)\]"), F.lit(1)), F.trim)
+    keys = F.transform(F.regexp_extract_all(text, F.lit(r"\[([A-Za-z][\w ]*): ([^\]]*)\]"), F.lit(1)), lambda k: F.trim(k))
     values = F.regexp_extract_all(text, F.lit(r"\[([A-Za-z][\w ]*): ([^\]]*)\]"), F.lit(2))
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
     latest = F.filter(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))), lambda p: ~F.exists(F.slice(keys, p["i"] + 2, F.greatest(F.size(keys), F.lit(1))), lambda k: k == p["k"]))

@@ -42,7 +42,7 @@ def calendar_texts(events: DataFrame, key: str, order: str, stamp: str = "197001
         F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), "uid"), F.lit(f"DTSTAMP:{stamp}"), when("DTSTART", "start"), when("DTEND", "end"), text("SUMMARY", "summary"), text("LOCATION", "location"),
         text("DESCRIPTION", "description"), F.concat(F.lit("X-ROSTER-KIND:"), "kind"), state("CATEGORIES", "Planned", "Published"), state("STATUS", "TENTATIVE", "CONFIRMED"), F.lit("END:VEVENT"),
     )
-    event = F.array_join(F.transform(F.filter(lines, lambda x: x.isNotNull()), folded), "\r\n")
+    event = F.array_join(F.transform(F.filter(lines, lambda x: x.isNotNull()), lambda x: folded(x)), "\r\n")
     listed = events.select(key, F.struct(F.col(order).alias("o"), event.alias("t")).alias("e")).groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("e"))
     body = F.array_join(F.transform("e", lambda x: x["t"]), "\r\n")
     return listed.select(key, F.concat(F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\nCALSCALE:GREGORIAN\r\nMETHOD:PUBLISH\r\n"), body, F.lit("\r\nEND:VCALENDAR\r\n")).alias("calendar"))
