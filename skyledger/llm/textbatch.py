@@ -6,6 +6,7 @@ whole rows, and words are found, hashed and re-joined on the UTF-8 bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,19 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once (a longer row makes a block of its own).
 BLOCK_BYTES = 2 << 20
 
+#: Arrays of this many bytes go back to the system when they are freed.
+RETURNED_BYTES = 1 << 20
+
+
+def _return_freed_memory() -> None:
+    """Holds glibc's mmap threshold where it is: left alone it rises to 32 MB, and a worker then keeps what its largest block took."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-3, RETURNED_BYTES)  # M_MMAP_THRESHOLD
+
+
+_return_freed_memory()
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
