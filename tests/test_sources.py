@@ -25,6 +25,7 @@ def test_grids(spark):
     assert one(spark, text.grid, "a\tb  c\nd\te") == [["a", "b c"], ["d", "e"]]
     assert one(spark, text.grid, "one two   three\n\n  four") == [["one two", "three"], [], ["four"]]
     assert one(spark, text.unwrapped, '"a,""b, c"""\n"d,""e"""') == '"a","b, c"\n"d","e"'
+    assert one(spark, text.grid, " ".join(["word"] * 50_000)) == [[" ".join(["word"] * 50_000)]]
     assert one(spark, text.unwrapped, '"a"\nb') == '"a"\nb'
 
 
