@@ -68,6 +68,31 @@ def test_layouts(spark):
     assert layouts.schedule_rows(spark.createDataFrame([], "file string, line int, cells array<string>")).count() == 0
 
 
+def test_more_layouts(spark):
+    def read(header, *cells):
+        grid = [("x", 0, header), *[("x", i + 1, row) for i, row in enumerate(cells)]]
+        return layouts.schedule_rows(spark.createDataFrame(grid, "file string, line int, cells array<string>")).orderBy("line").collect()
+
+    (a,) = read(["Flight Date", "A/C Type", "Flt No", "A/C Reg", "From", "To", "ATD", "ATA", "Block", "Stick", "Take off", "Landing", "SDC", "Crew Name"], ["10-DEC-2024", "A380", "414", "A6", "DXB", "SYD", "22:01", "10:25", "12:24", "", "Y", "", "M", "Ann B(12-CA),Carl D(34-FO)"])
+    assert (a.layout, a.date, a.begin, a.end, a.crew, a.info) == ("flight-time-report", "10 Dec 24", "22:01 Z", "10:25 Z +1", "[CA - 12 - Ann B][FO - 34 - Carl D]", "[Block: 12:24] [Takeoff Day/Night: 1] [SDC: M]")
+    (b,) = read(["Crew", "Blocks Off Actual", "AF_DEP", "To Airport", "Blocks On Actual", "TIME_TOTAL", "Landings Night", "Night Time"], ["Ann B, Carl D", "06.07.2024 23:05", "LFPB", "EGGW", "07.07.2024 00:10", "1h05", "1", "48'"])
+    assert (b.layout, b.date, b.dep, b.arr, b.begin, b.end, b.crew, b.info) == ("blocks-logbook", "6 Jul 24", "LFPB", "EGGW", "23:05 Z", "00:10 Z +1", "[Crew - Ann B][Crew - Carl D]", "[Block: 01:05] [Landing Night: 1] [Night: 00:48]")
+    stamps = [f"ACTUAL_{a}_{b}_{c}" for c in ("GMT", "LOCAL") for a in ("START", "END") for b in ("DATE", "TIME")]
+    c, d = read(["DUTY_CD", "PRNG_NUM", "FLT_NUM", "DEPARURE_PORT", "ARRIVAL_PORT", "FLEET_CD", "TAIL_NUM", *stamps], ["FLY", "87", "12", "JED", "RUH", "77W", "-", "17-AUG-17", "21:30", "17-AUG-17", "23:00", "18-AUG-17", "00:30", "18-AUG-17", "02:00"], ["RST", "", "0", "JED", "JED", "-", "-", "18-AUG-17", "12:00", "18-AUG-17", "13:00", "", "", "", ""])
+    assert (c.layout, c.duty, c.begin, c.end, c.ac, c.registration, c.info) == ("gmt-duties", "12", "21:30 Z / 00:30 L +1", "23:00 Z / 02:00 L +1", "77W", "", "[Pairing: 87]")
+    assert (d.duty, d.dep, d.arr, d.begin, d.end) == ("RST", "JED", "", "12:00 Z", "13:00 Z")
+    (e,) = read(["Datum", "Lfz.", "Startort", "Landeort", "Off-Block", "Start", "Landung", "On-Block", "Blockzeit in hh:mm", "Landungen", "Pilot", "Flugzeit"], ["01.09.22", "D-E", "Goch-Asperden EDLG", "EDLN", "9:00", "9:05", "9:45", "9:50", "0:50", "1", "Ann", "40"])
+    assert (e.layout, e.date, e.dep, e.arr, e.begin, e.takeoff, e.landing, e.end, e.crew, e.info) == ("german-logbook", "1 Sep 22", "EDLG", "EDLN", "09:00 Z", "09:05 Z", "09:45 Z", "09:50 Z", "[Pilot - Ann]", "[Block: 00:50] [Flight: 00:40] [Landing Day/Night: 1]")
+    f, g = read(["DATE", "Flight", "dhd", "From", "Depart", "To", "Arrive", "Block", "Tail_Number", "A_C_Type", "CoPilot", "TakeOff"], ["2022-02-05", "W5", "DH", "DAL", "2311", "HOU", "024", "113", "N1", "73H", "FO ANN B *INTL* [12]", "1"], ["2022-02-06", "W6", "", "HOU", "913", "DAL", "10:46", "", "", "", "Deadheading", ""])
+    assert (f.layout, f.dc, f.begin, f.end, f.crew, f.info) == ("dhd-flights", "DH", "23:11 L", "00:24 L +1", "[FO - 12 - ANN B]", "[Block: 01:13] [Takeoff Day/Night: 1]")
+    assert (g.dc, g.begin, g.end, g.crew, g.info) == ("", "09:13 L", "10:46 L", "", "")
+    heads = [(f"f{i}", 0, [h if isinstance(h, str) else h[0] for h in s.headers]) for i, s in enumerate(layouts.LAYOUTS)]  # more layouts than one branch takes
+    names = [s.name for s in layouts.LAYOUTS]
+    legs = [(f"f{names.index('duty-report')}", 1, ["FLY", "7", "VIE", "PRN", "01Dec21", "6:35"]), (f"f{names.index('dhd-flights')}", 1, ["2022-02-05", "W5", "", "DAL", "900", "HOU", "950", "50"])]
+    mixed = layouts.schedule_rows(spark.createDataFrame(heads + legs, "file string, line int, cells array<string>")).orderBy("layout").collect()
+    assert [(r.layout, r.dep, r.begin) for r in mixed] == [("dhd-flights", "DAL", "09:00 L"), ("duty-report", "VIE", "06:35 Z")]
+
+
 def test_night(spark):
     epoch = lambda *t: int(datetime.datetime(*t, tzinfo=datetime.UTC).timestamp())
     vie, prn = (48.1103, 16.5697), (42.5728, 21.0358)
