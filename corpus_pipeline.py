@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the least doc_id stays."""
+    """Of each group of near copies one row stays, that of least doc_id; null ids come last."""
     return simhash.representatives(docs, shingle=4, reach=4)
 
 

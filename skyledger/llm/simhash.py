@@ -7,12 +7,12 @@ two differ in one bit at most, and so on. Fingerprints meet in the bucket of eac
 value, candidates come from the next segment with at most one bit changed, longer
 chains prune them, and only then all 64 bits are compared.
 
-Before any pairing equal fingerprints collapse to their least doc_id. A bucket returns at
-most one link per member (a spanning forest), never its pairs.
+Before any pairing equal fingerprints collapse to one node: (least doc_id, fingerprint). A
+bucket returns at most one link per member (a spanning forest), never its pairs.
 
-Defined results: null and empty texts have fingerprint zero and link like any other; equal
-doc_ids are one document in components, each row has its own fingerprint; a null doc_id
-counts as larger than all others and comes back as null.
+Defined results: null and empty texts have fingerprint zero and link like any other; only
+fingerprints link, so rows that share a doc_id or have none stay apart where their texts
+do; a null doc_id counts as larger than all others and comes back as null.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -58,15 +58,28 @@ def _fingerprints(shingle: int):
                     spans = zip(start[a : b - k + 1].tolist(), end[a + k - 1 : b].tolist())
                     h = np.fromiter((digest(text[i:j], 42) for i, j in spans), np.uint64, b - a - k + 1)
                     out[first_row + r] = _majority(h)
-            yield pa.record_batch([pa.array(ids), pa.array(out.view(np.int64))], names=["id", "fingerprint"])
+            more = [n for n in batch.schema.names if n not in ("id", "text")]
+            yield pa.record_batch([pa.array(ids), pa.array(out.view(np.int64)), *(batch.column(n) for n in more)], names=["id", "fingerprint", *more])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(id, fingerprint): SimHash over XXH64 (seed 42) of word shingles; id is doc_id, NO_ID for null."""
-    texts = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("id"), "text")
-    return texts.mapInArrow(_fingerprints(shingle), "id long, fingerprint long")
+def fingerprints(docs: DataFrame, shingle: int = 4, digest: bool = False) -> DataFrame:
+    """(id, fingerprint): SimHash over XXH64 (seed 42) of word shingles; id is doc_id, NO_ID for null.
+
+    digest: with the text's digest beside them.
+    """
+    texts = docs.select(_row_id().alias("id"), "text", *([_digest().alias("digest")] if digest else []))
+    return texts.mapInArrow(_fingerprints(shingle), "id long, fingerprint long" + ", digest string" * digest)
+
+
+def _row_id() -> Column:
+    return F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long")
+
+
+def _digest() -> Column:
+    """SHA-256 of the text; a null text's comes after all others."""
+    return F.coalesce(F.sha2("text", 256), F.lit("~"))
 
 
 def segment_widths(reach: int) -> list[int]:
@@ -170,8 +183,8 @@ def _link(reach: int):
             found = link_bucket(prints, key[0], reach) if len(ids) > 1 else []
             if not found:
                 return None
-            a, b = np.array(found).T
-            return pa.record_batch([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+            nodes = (pa.StructArray.from_arrays([ids[x], prints[x].view(np.int64)], names=["id", "fingerprint"]) for x in np.array(found).T)
+            return pa.record_batch(list(nodes), names=["a", "b"])
 
         key, ids, prints = None, [], []
         for batch in batches:
@@ -194,7 +207,7 @@ def _link(reach: int):
 
 
 def links(distinct: DataFrame, reach: int = 4) -> DataFrame:
-    """(a, b) ids of linked fingerprints, a spanning forest of each bucket; distinct: (id, fingerprint), each once."""
+    """(a, b) linked nodes (id, fingerprint), a spanning forest of each bucket; distinct: (id, fingerprint), each fingerprint once."""
     widths, at, parts = segment_widths(reach), 0, []
     for i, width in enumerate(widths):
         value = F.shiftrightunsigned("fingerprint", at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
@@ -202,22 +215,30 @@ def links(distinct: DataFrame, reach: int = 4) -> DataFrame:
         at += width
     spread = distinct.select("id", "fingerprint", F.explode(F.array(*parts)).alias("s")).select("s.segment", "s.value", "id", "fingerprint")
     sorted_ = spread.repartition("segment", "value").sortWithinPartitions("segment", "value")
-    return sorted_.mapInArrow(_link(reach), "a long, b long")
+    return sorted_.mapInArrow(_link(reach), "a struct<id:long,fingerprint:long>, b struct<id:long,fingerprint:long>")
+
+
+def _grouped(docs: DataFrame, shingle: int, reach: int, digest: bool = False) -> DataFrame:
+    """fingerprints() with component, the least (id, fingerprint) that each can reach."""
+    prints, _ = store(fingerprints(docs, shingle, digest), "fingerprints")
+    distinct, _ = store(prints.groupBy("fingerprint").agg(F.min("id").alias("id")), "distinct")
+    linked = components(links(distinct, reach)).select(F.col("node.fingerprint").alias("fingerprint"), "component")
+    own = F.struct("id", "fingerprint")
+    class_of = distinct.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component", own).alias("component"))
+    return prints.join(class_of, "fingerprint")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, reach: int = 4) -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id), a row for each row of docs."""
-    prints, _ = store(fingerprints(docs, shingle), "fingerprints")
-    distinct, _ = store(prints.groupBy("fingerprint").agg(F.min("id").alias("id")), "distinct")
-    linked = components(links(distinct, reach).filter("a != b"))
-    # a doc_id that repeats with several texts ties their fingerprints together through its id
-    class_of = distinct.join(linked.withColumnRenamed("node", "id"), "id", "left").select("fingerprint", F.coalesce("component", "id").alias("component"))
-    out = prints.join(class_of, "fingerprint")
-    return out.select(id_or_null(F.col("id")).alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), id_or_null(F.col("component")).alias("component_id"))
+    out = _grouped(docs, shingle, reach)
+    return out.select(id_or_null(F.col("id")).alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), id_or_null(F.col("component.id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, shingle: int = 4, reach: int = 4) -> DataFrame:
-    """docs less those that have a near copy of smaller doc_id; of rows of one doc_id one stays."""
-    keep = near_duplicates(docs, shingle, reach).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__skyledger_id")).distinct()
-    found = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__skyledger_id"))).drop("__skyledger_id")
-    return found.dropDuplicates(["doc_id"])
+    """Of each component of docs one row: that of least doc_id (null last), then fingerprint and text digest."""
+    row = F.struct("id", "fingerprint", "digest")
+    keep = _grouped(docs, shingle, reach, digest=True).groupBy("component").agg(F.min(row).alias("row"))
+    keep = keep.select(F.col("row.id").alias("__skyledger_id"), F.col("row.digest").alias("__skyledger_digest"))
+    own = docs.withColumns({"__skyledger_id": _row_id(), "__skyledger_digest": _digest()})
+    # rows alike in id and text are one
+    return own.join(keep, ["__skyledger_id", "__skyledger_digest"]).dropDuplicates(["__skyledger_id", "__skyledger_digest"]).select(*docs.columns)

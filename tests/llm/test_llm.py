@@ -71,6 +71,23 @@ def test_simhash(docs, rows):
     assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == sorted({*least.values()})
 
 
+def test_simhash_null_and_shared_ids(spark):
+    rng = random.Random(7)
+    base = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(300)) for _ in range(8)]
+    near = [t + " x" for t in base]
+    assert all((brute_fingerprint(a) ^ brute_fingerprint(b)).bit_count() <= 4 for a, b in zip(base, near))
+    made = [(3, base[0]), (9, base[1]), (None, near[0]), (None, near[1]), (None, base[2]), (None, base[3]), (None, near[3]), (None, base[4]), (None, base[4]), (5, base[5]), (5, base[6]), (5, near[6]), (7, base[7]), (7, base[7])]
+    table = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    prints = [brute_fingerprint(t) for _, t in made]
+    order = lambda k: (made[k][0] is None, made[k][0] or 0, prints[k] - (prints[k] >> 63 << 64), hashlib.sha256(made[k][1].encode()).hexdigest())
+    group = [min((j for j in range(len(made)) if (prints[i] ^ prints[j]).bit_count() <= 4), key=order) for i in range(len(made))]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    got = simhash.near_duplicates(table).select("doc_id", "fingerprint", "component_id").collect()
+    assert sorted(map(tuple, got), key=key) == sorted([(made[i][0], f"{prints[i]:016x}", made[group[i]][0]) for i in range(len(made))], key=key)
+    kept = sorted(map(tuple, simhash.representatives(table).collect()), key=key)
+    assert kept == sorted({made[i] for i in group}, key=key) and len(kept) == 8
+
+
 def test_pigeonring_loses_no_link():
     import numpy as np
 
