@@ -1,8 +1,8 @@
 """License scans: template markup compiled to token automata.
 
 A template is licence wording with markup: ``[[ ... ]]`` encloses a region that may be left
-out, ``{{n}}`` stands for up to n words of any kind (a name, a year). Everything else is
-mandatory and must stand word for word. A template compiles to an automaton over words
+out, ``{{n}}`` stands for up to n words of any kind (a name, a year), ``<< a | b >>`` for
+one of the wordings a and b. Everything else is mandatory and must stand word for word. A template compiles to an automaton over words
 (states with literal, wildcard and empty moves); it accepts where its mandatory
 wording matches exactly. Automata start only where a template's opening words stand, which
 are found by byte search on the normalised text.
@@ -25,20 +25,61 @@ from pyspark.sql import DataFrame
 #: Base phrases and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Templates of the common notices, by label.
+_MARK = "[[ <<1|2|3|4|a|b|c|d|i|ii|iii|iv>> ]]"
+_AS_IS = "<<as is|“as is”>>"
+_VERSION = "version <<1|2|2 0|2 1|3|3 0>>"
+
+
+def _gnu_header(kind: str) -> str:
+    """The FSF's notice for source files; kind is empty, lesser or affero. The grant is mandatory whole."""
+    name, fsf = f"gnu {kind} general public license", "as published by the free software foundation"
+    return f"""[[this {{{{3}}}}]] is free software you can redistribute it and or modify it under the terms of
+        << the {name} {fsf} [[either]] {_VERSION} of the license | the {name} {_VERSION} [[only]] {fsf} | {_VERSION} of the {name} {fsf} >> [[or at your option any later version]]
+        [[ [[this]] {{{{3}}}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose
+        see the {name} for more details [[you should have received a copy of the {name} along with {{{{4}}}} if not]] ]]"""
+
+
+#: Templates of the common notices and of whole licence texts (-text), by label.
 TEMPLATES = {
-    "mit-notice": "[[this {{4}} is]] released under the [[terms of the]] mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction [[including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software]]",
-    "apache-notice": "licensed under the apache license version [[2 0]] [[the license]]",
+    "mit-notice": "[[this {{4}} is]] <<released|licensed|distributed|available>> under the [[terms of the]] mit license",
+    "mit-text": f"""permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the <<software|“software”>>
+        to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software
+        and to permit persons to whom the software is furnished to do so subject to the following conditions
+        the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software
+        the software is provided {_AS_IS} without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose
+        and <<noninfringement|non infringement>> in no event shall {{{{10}}}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise
+        arising from out of or in connection with the software or the use or other dealings in the software""",
+    "apache-notice": "licensed under the apache license [[version]] [[2 0]] [[the <<license|“license”>>]]",
+    "apache-header": f"""licensed under the apache license version 2 0 [[the <<license|“license”>>]] you may not use this file except in compliance with the license
+        you may obtain a copy of the license at {{{{8}}}} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an {_AS_IS} basis
+        without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license""",
     "gpl-notice": "this {{3}} is licensed under the [[terms of the]] gnu [[lesser]] general public license [[as published by the free software foundation]] [[either]] version {{1}} [[of the license]] [[or at your option any later version]]",
+    "gpl-header": _gnu_header(""),
+    "lgpl-header": _gnu_header("<<lesser|library>>"),
+    "agpl-header": _gnu_header("affero"),
     "cc-by-notice": "licensed under [[a]] [[the]] cc by [[nc]] [[sa]] [[nd]] {{2}} 0",
     "cc-by-long": "licensed under [[a]] [[the]] creative commons attribution [[noncommercial]] [[sharealike]] [[noderivatives]] {{2}} [[international]] license",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "bsd-text": f"""redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+        {_MARK} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        {_MARK} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution
+        [[ {_MARK} all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by {{{{12}}}} ]]
+        [[ {_MARK} << neither the name of {{{{12}}}} nor the names of [[<<its|any|the|their>>]] contributors may be used to endorse or promote products derived from this software without specific prior written permission
+        | the name of {{{{6}}}} may not be used to endorse or promote products derived from this software without specific prior written permission >> ]]
+        this software is provided by {{{{12}}}} {_AS_IS} and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+        in no event shall {{{{12}}}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services
+        loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise
+        arising in any way out of the use of this software even if advised of the possibility of such damage""",
+    "isc-text": f"""permission to use copy modify <<and or|and>> distribute this software for any purpose with or without fee is hereby granted
+        provided that the above copyright notice and this permission notice appear in all copies
+        the software is provided {_AS_IS} and {{{{8}}}} <<disclaims|disclaim>> all warranties with regard to this software including all implied warranties of merchantability and fitness
+        in no event shall {{{{8}}}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+        whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software""",
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "reserved-notice": "[[copyright]] [[c]] {{6}} all rights reserved",
 }
 
+_MARKUP = re.compile(r"\[\[|\]\]|<<|>>|\||\{\{\d+\}\}|[^\s\[\]{}<>|]+")
+
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -100,7 +141,8 @@ def compile_template(markup: str) -> Automaton:
     out = Automaton()
     at = out.state()
     opened: list[int] = []
-    for token in re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", markup):
+    choices: list[tuple[int, list[int]]] = []
+    for token in _MARKUP.findall(markup):
         if token == "[[":
             opened.append(at)
         elif token == "]]":
@@ -108,6 +150,21 @@ def compile_template(markup: str) -> Automaton:
             joint = out.state()
             out.none[at].append(joint)
             at = joint
+        elif token == "<<":
+            # each wording starts at a state of its own: words of the same state would share their moves
+            choices.append((at, []))
+            out.none[at].append(first := out.state())
+            at = first
+        elif token in ("|", ">>"):
+            start, ends = choices[-1]
+            ends.append(at)
+            at = out.state()
+            if token == "|":
+                out.none[start].append(at)
+            else:
+                choices.pop()
+                for end in ends:
+                    out.none[end].append(at)
         elif token.startswith("{{"):
             first = at
             steps = [first]
@@ -122,7 +179,7 @@ def compile_template(markup: str) -> Automaton:
         else:
             after = out.state()
             out.words[at][token.encode()] = after
-            out.mandatory += not opened
+            out.mandatory += not opened and not choices
             at = after
     out.final = at
     out.openings = [b" " + w + b" " for w in sorted({w for s in out.closure({0}) for w in out.words[s]})]
@@ -132,15 +189,15 @@ def compile_template(markup: str) -> Automaton:
 def _anchor(markup: str) -> tuple[bytes, int]:
     """The template's longest run of mandatory words, and how many words may stand before it at most."""
     runs, depth, before, run = [], 0, 0, []
-    for token in [*re.findall(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+", markup), "[["]:
-        plain = token not in ("[[", "]]") and not token.startswith("{{")
+    for token in [*_MARKUP.findall(markup), "[["]:
+        plain = token not in ("[[", "]]", "<<", ">>", "|") and not token.startswith("{{")
         if plain and not depth:
             run.append(token.encode())
             continue
         if run:
             runs.append((b" " + b" ".join(run) + b" ", before))
             before, run = before + len(run), []
-        depth += (token == "[[") - (token == "]]")
+        depth += (token in ("[[", "<<")) - (token in ("]]", ">>"))
         before += int(token[2:-2]) if token.startswith("{{") else plain
     return max(runs, key=lambda x: len(x[0]))
 

@@ -164,6 +164,43 @@ def test_licenses(spark):
     assert found[5].labels == "gpl,gpl-notice"
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""
+
+
+def test_whole_licences():
+    scanner = licenses.Scanner(licenses.BASE_PHRASES, licenses.TEMPLATES)
+    labels = lambda t: {x[0] for x in scanner.matches(licenses.normal(t))}
+    for label, text in (("mit-text", MIT), ("bsd-text", BSD), ("isc-text", ISC)):
+        assert labels(text) == {label} and labels("x y\n" + "\n".join(" * " + x for x in text.split("\n")) + " z") == {label}
+        assert scanner.matches(licenses.normal("x y " + text + " z")) == [(label, 2, len(licenses.normal(text).split()))]
+        parts = text.split("\n\n")
+        # the opening alone, the disclaimer left out or alone, one word more, less or other
+        for other in (parts[0], text[: len(text) // 2], "\n".join(parts[:-1]), parts[-1], text.replace("LIABLE", "HELD LIABLE"), text.replace("fee ", "").replace("notice ", "", 1), text.replace("IN NO EVENT", "IN ANY EVENT")):
+            assert other == text or labels(other) == set()
+    assert labels(BSD.replace("3. Neither", "Neither")) == {"bsd-text"} and labels("".join(x for x in BSD.splitlines(True) if not x.startswith("3."))) == {"bsd-text"}
+    assert labels("".join(x for x in BSD.splitlines(True) if not x.startswith("2."))) == set() and labels(BSD.replace("without specific prior", "with no")) == set()
+    assert labels("Licensed under the MIT License") == {"mit-notice"} and labels("unlicensed under the MITT License") == set()
+    assert labels(GPL) == {"gpl-header"} and labels(GPL.replace("General", "Lesser General")) == {"lgpl-header"} and labels(GPL.replace("either version 3", "either version 2.1")) == {"gpl-header"}
+    assert labels(GPL.replace("you can redistribute", "you cannot redistribute")) == set()
+
+
 def test_urls(spark):
     urls = [None, "nothing", "http://WWW.Example.com/en/1?x#y", "https://a.example.com/en/2", "http://b.net/es/", "x://example.com", "http://other.com/a#b/c"]
     found = {r.page_id: r for r in urlfilter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), URL_RULES).collect()}
