@@ -67,6 +67,40 @@ def near_pairs(rows: DataFrame, group: str, item: str, share: float = 0.5) -> Da
     return sized.withColumn("share", F.col("common") / F.least("na", "nb")).filter(F.col("share") >= share).select("a", "b", "common", "share")
 
 
+def item_sets(rows: DataFrame, group: str, item: str) -> DataFrame:
+    """(r, items, members): groups of equal item sets with their least member; items are (f, i), the rare ones first."""
+    items = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
+    ranked = items.join(items.groupBy("i").agg(F.count("*").alias("f")), "i")
+    sets = ranked.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("f", "i"))).alias("items"))
+    return sets.groupBy("items").agg(F.min("g").alias("r"), F.sort_array(F.collect_list("g")).alias("members"))
+
+
+def set_pairs(sets: DataFrame, share: float = 0.5) -> DataFrame:
+    """(a, b, common, share) of item_sets() that share at least ``share`` of the smaller one's items.
+
+    A smaller set that shares enough has a common item among its rarest n - ceil(share * n) + 1:
+    only those meet the other sets' items, and each pair found is then compared whole. So an
+    item that very many sets hold makes pairs only where it is rare for its own set.
+    """
+    n = F.size("items")
+    prefix = n - F.greatest(F.lit(1), F.ceil(n * share - 1e-9)).cast("int") + 1
+    small = sets.select(F.col("r").alias("s"), n.alias("ns"), F.explode(F.slice("items", 1, prefix)).alias("x")).select("s", "ns", "x.i")
+    large = sets.select(F.col("r").alias("l"), n.alias("nl"), F.explode("items").alias("x")).select("l", "nl", "x.i")
+    met = small.join(large, "i").filter("ns < nl or ns = nl and s < l").select("s", "l").distinct()
+    of = lambda key, name: sets.select(F.col("r").alias(key), F.transform("items", lambda x: x["i"]).alias(name))
+    both = met.join(of("s", "si"), "s").join(of("l", "li"), "l").withColumn("common", F.size(F.array_intersect("si", "li")).cast("long"))
+    return both.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), "common", (F.col("common") / F.size("si")).alias("share")).filter(F.col("share") >= share)
+
+
+def near_pairs_whole(rows: DataFrame, group: str, item: str, share: float = 0.5) -> DataFrame:
+    """near_pairs() by set_pairs(): equal sets are compared once, then every pair of their members is given."""
+    sets = item_sets(rows, group, item)
+    of = lambda key: sets.select(F.col("r").alias(key), F.col("members").alias(f"{key}_all"))
+    across = set_pairs(sets, share).join(of("a"), "a").join(of("b"), "b").select(F.explode("a_all").alias("x"), "b_all", "common", "share").select("x", F.explode("b_all").alias("y"), "common", "share")
+    within = sets.select(F.explode("members").alias("x"), "members", F.size("items").cast("long").alias("common")).select("x", F.explode("members").alias("y"), "common", F.lit(1.0).alias("share")).filter("x < y")
+    return across.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "common", "share")
+
+
 def nearest_before(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     """Each left row with the value of the last right row of its keys at or before its time (as-of join, by union and window)."""
     tagged = left.withColumns({"__side": F.lit(1), "__value": F.lit(None)}).unionByName(right.select(*keys, time, F.lit(0).alias("__side"), F.struct(value, time).alias("__value")), allowMissingColumns=True)

@@ -210,6 +210,25 @@ def near_dup_clusters(spark, sf):
     return curation.clusters(_t(spark, sf, "documents").select(F.col("doc_id").alias("node")), near_dup_pairs(spark, sf))
 
 
+def _lines(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+
+
+@_query()
+def near_dup_pairs_whole(spark, sf):
+    """near_dup_pairs over every distinct line, the short ones too."""
+    return relational.near_pairs_whole(_lines(spark, sf), "doc_id", "line")
+
+
+@_query()
+def near_dup_clusters_whole(spark, sf):
+    """near_dup_clusters over every distinct line; equal documents go through the rounds as one."""
+    sets = relational.item_sets(_lines(spark, sf), "doc_id", "line")
+    found = curation.clusters(sets.select(F.col("r").alias("node")), relational.set_pairs(sets)).withColumnRenamed("node", "r")
+    of = sets.select("r", F.explode("members").alias("node")).join(found, "r").select("node", "cluster")
+    return _t(spark, sf, "documents").select(F.col("doc_id").alias("node")).join(of, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
+
+
 @_query()
 def folds(spark, sf):
     return curation.folds(_t(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("size")), "source", "size", 5)

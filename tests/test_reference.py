@@ -62,3 +62,32 @@ def test_folds_and_upsert(spark):
     assert sorted(loads.values()) == [15, 15]
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(map(tuple, relational.upsert(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+@pytest.fixture()
+def folder(spark, tmp_path):
+    """A table folder of its own: folder({table: (rows, schema)})."""
+
+    def put(tables):
+        for name, (rows, schema) in tables.items():
+            spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        return str(tmp_path)
+
+    return put
+
+
+def test_near_dups_take_short_lines(spark, folder):
+    rng = random.Random(3)
+    short = ["Of.", "Les.", "", "a", "b", "c"]
+    texts = ["Of.", "Of.", "Of.\nOf.", "Les.\nOf.", "z", None, ""] + ["\n".join(rng.choice(short + [f"a line of its own, number {rng.randint(0, 25)}"] * 2) for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    sf = folder({"documents": (list(enumerate(texts)), "doc_id long, text string")})
+    sets = {i: set(t.split("\n")) for i, t in enumerate(texts) if t is not None}
+    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and 2 * len(sets[a] & sets[b]) >= min(len(sets[a]), len(sets[b]))}
+    got = catalog.queries()["near_dup_pairs_whole"](spark, sf).collect()
+    assert {(r.a, r.b): r.common for r in got} == want and len(got) == len(want) and (0, 1) in want
+    assert all(r.share == r.common / min(len(sets[r.a]), len(sets[r.b])) for r in got)
+    least = {i: i for i in range(len(texts))}
+    for _ in texts:
+        for a, b in want:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {r.node: r.cluster for r in catalog.queries()["near_dup_clusters_whole"](spark, sf).collect()} == least
