@@ -313,9 +313,11 @@ def percentiles(spark, sf):
 
 @_query()
 def align_rows(spark, sf):
-    c = _t(spark, sf, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 1).alias("initial"))
-    read = c.filter((F.col("conv_id") + F.col("turn")) % 5 != 0)
-    return sequence.aligned(read, c, "conv_id", "turn", ["role", "initial"])
+    """Turns as read against the turns themselves by role and whole text; of the read ones every fifth is lost and every seventh is changed."""
+    c = _t(spark, sf, "conversations").select("conv_id", "turn", "role", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    at = F.col("conv_id") + F.col("turn")
+    read = c.filter(at % 5 != 0).withColumn("text", F.when(at % 7 == 0, F.concat("text", F.lit(" x"))).otherwise(F.col("text")))
+    return sequence.aligned(read, c, "conv_id", "turn", ["role", "text"])
 
 
 # ---- sequences --------------------------------------------------------------------------
@@ -440,6 +442,12 @@ def word_shape(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", S.shape(F.concat(F.substring("p_brand", 1, 1), F.expr("right(p_brand, 1)"))).alias("shape"))
 
 
+@_query()
+def word_shape_whole(spark, sf):
+    """word_shape of the whole brand; no SQL, DuckDB's patterns have no back-reference."""
+    return _t(spark, sf, "part").select("p_partkey", S.shape(F.col("p_brand")).alias("shape"))
+
+
 @_query("SELECT vec_id, label, round(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) for x in embedding]), 4) AS norm2 FROM embeddings")
 def embedding_norms(spark, sf):
     square = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))

@@ -91,3 +91,13 @@ def test_near_dups_take_short_lines(spark, folder):
         for a, b in want:
             least[a] = least[b] = min(least[a], least[b])
     assert {r.node: r.cluster for r in catalog.queries()["near_dup_clusters_whole"](spark, sf).collect()} == least
+
+
+def test_align_and_shape_take_whole_texts(spark, folder):
+    turns = [(2, t, "user", x) for t, x in enumerate(["same start, one", "same start,  two", "same start, three", "same start, four", "same start, five", "same start, six", "same start, seven"])]
+    brands = [(1, "Brand#16"), (2, "ABcd#7"), (3, None), (4, "")]
+    sf = folder({"conversations": (turns, "conv_id long, turn long, role string, text string"), "part": (brands, "p_partkey long, p_brand string")})
+    got = [(r.predicted_at, r.expected_at, r.differing) for r in catalog.queries()["align_rows"](spark, sf).orderBy("step").collect()]
+    # turn 3 is lost, turn 5 is changed
+    assert got == [(0, 0, 0), (1, 1, 0), (2, 2, 0), (None, 3, 2), (3, 4, 0), (4, 5, 1), (5, 6, 0)]
+    assert {r.p_partkey: r.shape for r in catalog.queries()["word_shape_whole"](spark, sf).collect()} == {1: "Xxx#99", 2: "XXxx#9", 3: None, 4: ""}
