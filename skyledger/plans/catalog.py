@@ -103,12 +103,19 @@ def initial_course(spark, sf):
 
 @_query()
 def route_geojson(spark, sf):
-    """A feature for each route: a line of 65 points."""
-    top = route_pairs_top(spark, sf)
+    """A feature for each route, a line of 65 points, and one for each node in use, a point (b is null)."""
+    routes = _legs(spark, sf).groupBy(F.least("dep", "arr").alias("a"), F.greatest("dep", "arr").alias("b")).agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.struct("dep", "arr"))).alias("dirs"))
     a, b = (_nodes(spark, sf).withColumnsRenamed({"n_name": s, "lat": f"lat_{s}", "lon": f"lon_{s}"}) for s in "ab")
-    line = F.transform(S.great_circle(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), lambda p: F.array(F.round(p["lon"], 5), F.round(p["lat"], 5)))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), line.alias("coordinates")).alias("geometry"), F.struct("a", "b", "n").alias("properties"))
-    return top.join(F.broadcast(a), "a").join(F.broadcast(b), "b").select("a", "b", F.to_json(feature).alias("feature"))
+    ends = [F.col(c) for c in ("lat_a", "lon_a", "lat_b", "lon_b")]
+    line = F.transform(S.great_circle(*ends), lambda p: F.array(F.round(p["lon"], 5), F.round(p["lat"], 5)))
+    directions = F.transform("dirs", lambda x: F.concat_ws("-", x["dep"], x["arr"])).alias("directions")
+    said = F.struct("a", "b", "n", F.lit("#4a90e2").alias("color"), F.round(S.haversine_km(*ends), 1).alias("distanceKm"), directions)
+    feature = lambda kind, at, properties: F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), at.alias("coordinates")).alias("geometry"), properties.alias("properties")))
+    lines = routes.join(F.broadcast(a), "a").join(F.broadcast(b), "b").select("a", "b", feature("LineString", line, said).alias("feature"))
+    used = routes.select(F.explode(F.array("a", "b")).alias("n_name")).distinct().join(F.broadcast(_nodes(spark, sf)), "n_name")
+    node = F.struct(F.col("n_name").alias("code"), "lat", "lon")
+    points = used.select(F.col("n_name").alias("a"), F.lit(None).cast("string").alias("b"), feature("Point", F.array("lon", "lat"), node).alias("feature"))
+    return lines.union(points)
 
 
 # ---- lookups, labels, copies ------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Reference operators on small fixtures, and query twins against DuckDB."""
 
+import json
 import random
 
 import duckdb
@@ -101,3 +102,17 @@ def test_align_and_shape_take_whole_texts(spark, folder):
     # turn 3 is lost, turn 5 is changed
     assert got == [(0, 0, 0), (1, 1, 0), (2, 2, 0), (None, 3, 2), (3, 4, 0), (4, 5, 1), (5, 6, 0)]
     assert {r.p_partkey: r.shape for r in catalog.queries()["word_shape_whole"](spark, sf).collect()} == {1: "Xxx#99", 2: "XXxx#9", 3: None, 4: ""}
+
+
+def test_geojson_has_all_routes_and_nodes(spark):
+    routes = {(r.a, r.b): r for r in catalog.queries()["route_rollup"](spark, SF).collect()}
+    rows = catalog.queries()["route_geojson"](spark, SF).collect()
+    lines = {(r.a, r.b): json.loads(r.feature) for r in rows if r.b is not None}
+    points = {r.a: json.loads(r.feature) for r in rows if r.b is None}
+    assert len(routes) > 20 and lines.keys() == routes.keys() and points.keys() == {x for pair in routes for x in pair} and len(rows) == len(lines) + len(points)
+    km = {(r.a, r.b): r.km for r in catalog.queries()["haversine_km"](spark, SF).collect()}
+    for (a, b), f in lines.items():
+        said, at = f["properties"], f["geometry"]["coordinates"]
+        assert (said["a"], said["b"], said["n"]) == (a, b, routes[a, b].n) and len(at) == 65 and said["color"] == "#4a90e2"
+        assert len(said["directions"]) == routes[a, b].dirs and {*said["directions"]} <= {f"{a}-{b}", f"{b}-{a}"} and abs(said["distanceKm"] - km[a, b]) < 0.06
+        assert at[0] == points[a]["geometry"]["coordinates"] and points[b]["geometry"]["type"] == "Point"
