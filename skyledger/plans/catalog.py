@@ -485,9 +485,10 @@ def content_kinds(spark, sf):
 @_query("""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line FROM documents WHERE NOT contains(text, chr(9)))
  SELECT doc_id, count(*) FILTER (trim(line) <> '') AS rows, CAST(sum(len(regexp_extract_all(line, '\\S+(?: \\S+)*'))) AS BIGINT) AS cells FROM l GROUP BY doc_id""")
 def fixed_width_grid(spark, sf):
-    cut = _t(spark, sf, "documents").filter(~F.contains("text", F.lit("\t"))).select("doc_id", T.grid(F.col("text")).alias("g"))
+    """Rows and cells of each text's grid, by tabs or by columns; the SQL leaves out texts that hold a tab."""
+    cut = _t(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.filter(T.grid(F.col("text")), lambda r: F.exists(r, lambda c: c != "")).alias("g"))
     size = F.aggregate("g", F.lit(0), lambda s, r: s + F.size(r)).cast("long")
-    return cut.select("doc_id", F.size(F.filter("g", lambda r: F.size(r) > 0)).cast("long").alias("rows"), size.alias("cells"))
+    return cut.select("doc_id", F.size("g").cast("long").alias("rows"), size.alias("cells"))
 
 
 @_query(f"""WITH {_LEGS}, r AS (SELECT dep AS name, ('N' || lpad(substr(dep, 8), 2, '0')) AS d, ('N' || lpad(substr(arr, 8), 2, '0')) AS a, count(*) AS n FROM legs GROUP BY ALL), s AS (SELECT name, d, a, sum(n) AS n FROM r WHERE d <> a GROUP BY ALL)

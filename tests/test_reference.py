@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import duckdb
 import pytest
@@ -116,3 +117,20 @@ def test_geojson_has_all_routes_and_nodes(spark):
         assert (said["a"], said["b"], said["n"]) == (a, b, routes[a, b].n) and len(at) == 65 and said["color"] == "#4a90e2"
         assert len(said["directions"]) == routes[a, b].dirs and {*said["directions"]} <= {f"{a}-{b}", f"{b}-{a}"} and abs(said["distanceKm"] - km[a, b]) < 0.06
         assert at[0] == points[a]["geometry"]["coordinates"] and points[b]["geometry"]["type"] == "Point"
+
+
+def test_grid_takes_texts_with_tabs(spark, folder):
+    texts = ["a  b c\n\nd", "a\tb\tc\nd\t\te\n\n", "a\tb c  d\ne f\ng  h\ni", "\t\n\t", None, ""]
+    sf = folder({"documents": (list(enumerate(texts)), "doc_id long, text string")})
+    want = {}
+    for i, t in enumerate(texts):
+        if t is not None:
+            lines = t.split("\n")
+            tabbed, filled = sum("\t" in x for x in lines), sum(x.strip(" ") != "" for x in lines)
+            cut = [x.split("\t") if filled and tabbed >= filled / 2 else [c for c in re.split(" {2,}", x.expandtabs(8).strip()) if c] for x in lines]
+            cut = [r for r in cut if any(c.strip() for c in r)]
+            want[i] = (len(cut), sum(map(len, cut)))
+    assert {r.doc_id: (r.rows, r.cells) for r in catalog.queries()["fixed_width_grid"](spark, sf).collect()} == want and want[1] == (2, 6) and want[2] == (4, 7)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    assert values(catalog.queries()["fixed_width_grid"](spark, SF).toPandas()) == values(db.execute(catalog.oracle_sql()["fixed_width_grid"]).df())
