@@ -123,7 +123,9 @@ def _scan_by_join(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     )
     hits = windows.join(grams, ["k", "gram"])
     covered = hits.select(id_, F.explode(F.expr("sequence(at, at + k - 1)")).alias("p")).distinct().groupBy(id_).agg(F.count("*").alias(N_HIT), F.sort_array(F.collect_set("p")).alias("ps"))
-    covered = covered.select(id_, N_HIT, F.expr("transform(ps, p -> named_struct('first', p, 'last', p + 1))").alias(SPANS))
+    # runs of consecutive words are one range, as in _scan
+    firsts, lasts = "filter(ps, (p, i) -> coalesce(get(ps, i - 1) <> p - 1, true))", "filter(ps, (p, i) -> coalesce(get(ps, i + 1) <> p + 1, true))"
+    covered = covered.select(id_, N_HIT, F.expr(f"zip_with({firsts}, {lasts}, (a, b) -> named_struct('first', a, 'last', b + 1))").alias(SPANS))
     who = hits.groupBy(id_).agg(F.sort_array(F.collect_set("item")).alias(ITEMS))
     counted = docs.withColumn(N_WORDS, F.coalesce(F.size(F.expr(_word_array(TEXT))), F.lit(0)).cast("long"))
     out = counted.join(covered, id_, "left").join(who, id_, "left").drop(id_)
@@ -164,9 +166,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(at, TEXT, pa.array(texts, pa.string()))
 
 
-def spans_removed(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+def spans_removed(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """All documents, with the hit words and what stands between them cut out of their texts."""
-    found = scan(docs, benchmark, size)
+    found = scan(docs, benchmark, size, broadcast_bytes)
     return found.mapInArrow(_cut, found.schema).select(*docs.columns)
 
 

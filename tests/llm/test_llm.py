@@ -119,6 +119,17 @@ def test_decontamination_both_ways(spark, docs):
     assert all(r[2] == 0 for r in pick(d.scan(d.spans_removed(narrow, bench.filter("item_id = 4 and length(text) > 3")), bench.filter("item_id = 4 and length(text) > 3"))))
 
 
+def test_decontamination_cuts_alike_both_ways(spark):
+    d = decontaminate
+    texts = ["a, b - c! d", "x a, b; c y b c d; z", "b, c", None, "", "q a-b-c a b c. e", "none of it"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c"), (2, "b c d")], "item_id long, text string")
+    spans = lambda size: {r.doc_id: [tuple(s) for s in r[d.SPANS]] for r in d.scan(docs, bench, broadcast_bytes=size).collect()}
+    texts_left = lambda size: {r.doc_id: r.text for r in d.spans_removed(docs, bench, broadcast_bytes=size).collect()}
+    assert spans(0) == spans(1 << 20) and spans(0)[1] == [(1, 4), (5, 8)] and spans(0)[5] == [(1, 7)]
+    assert texts_left(0) == texts_left(1 << 20) and texts_left(0)[0] == "" and texts_left(0)[1] == "x  y ; z" and texts_left(0)[5] == "q . e"
+
+
 def test_bpe_equals_tiktoken():
     ranks = bpe.load_ranks(vocabulary())
     import public_tokenizers
