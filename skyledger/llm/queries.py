@@ -74,8 +74,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), window=13, with_text=False)
-    return found.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept_sha256").alias("kept_sha256"))
+    d = substring
+    found = d.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), window=13, with_text=False)
+    return found.select("doc_id", F.col(d.N_WORDS).alias("n_words"), F.col(d.N_REMOVED).alias("n_removed"), F.col(d.KEPT_SHA256).alias("kept_sha256"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,17 @@ Hot passages are combined before the shuffle: of equal super-k-mers in one block
 input only those of the smallest doc_id travel, the others are decided on the spot.
 Super-k-mers of one bucket travel as compressed blobs.
 
+Hot minimisers: a bucket is judged in one task's memory, so one whose packed bytes pass
+``LARGEST`` is not judged there. Its windows go on one by one to a second shuffle, by their
+own words instead of the minimiser, where Spark sorts them (words, doc_id) on disk as needed
+and each group of equal windows is streamed past its first.
+
 Defined results: a null or empty text has no words; rows that share a doc_id are
 judged each by its own text and never against each other; a null doc_id counts as
-larger than all others; equal rows give equal results.
+larger than all others (the largest long stands for it); equal rows give equal results;
+very long texts are cut into super-k-mers of LONGEST windows at most; an empty table gives
+no rows. doc_id is an integer column. Columns of docs keep their names and values whatever
+they are called, but for names that begin with __skyledger_, which are the operator's own.
 """
 
 from __future__ import annotations
@@ -24,10 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import NO_ID, NOT_SPACE, Words, blocks, doc_ids, mix, window_hashes
+from .scratch import store
+from .textbatch import NO_ID, NOT_SPACE, Words, blocks, mix, window_hashes
 
 #: Longest super-k-mer in windows: bounds a packed string where a text repeats one word.
 LONGEST = 1024
@@ -35,11 +44,17 @@ LONGEST = 1024
 GATHER_BYTES = 16 << 20
 #: Bytes of a bucket whose windows are hashed at once.
 JUDGED_BYTES = 1 << 20
+#: Packed bytes up to which a bucket is judged in memory.
+LARGEST = 24 << 20
+#: Bytes of text for each task of the shuffle, where the session's number of partitions gives more.
+TASK_BYTES = 192 << 20
 
-#: Helper columns that stand beside a caller's own.
-ID, KEY, SPANS = "__skyledger_id", "__skyledger_key", "__skyledger_spans"
+#: Helper columns that stand beside a caller's own, and the counts that remove_repeats adds.
+ID, KEY, KEY2, SPANS = "__skyledger_id", "__skyledger_key", "__skyledger_key2", "__skyledger_spans"
+N_WORDS, N_REMOVED, KEPT_SHA256 = "__skyledger_n_words", "__skyledger_n_removed", "__skyledger_kept_sha256"
 
-_INTERVALS = "id long, key int, first int, last int"
+#: key and key2 tell rows of one doc_id apart: 128 bits of the text's hash, zeros where ids are not shared.
+_ROW = "id long, key long, key2 long"
 _PACK = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
 
 
@@ -70,24 +85,26 @@ def super_kmers(words: Words, window: int, mini: int) -> tuple[np.ndarray, np.nd
 
 
 def _pack_blob(items: list, decided: bool, compressor) -> bytes:
-    """Columns of (packed, id, key, place, windows): ids as differences, packed strings a line each.
+    """Columns of (packed, id, key, key2, place, windows): ids as differences, packed strings a line each.
 
     What was decided on the spot has no string and carries its number of windows instead.
     """
     items.sort(key=lambda x: x[1])
     n = len(items)
-    ids = np.diff(np.array([x[1] for x in items], np.int64), prepend=np.int64(0))
-    narrow = [np.array([x[c] for x in items], np.int64).astype(np.int32).tobytes() for c in ((2, 3, 4) if decided else (2, 3))]
-    return compressor.compress(b"".join([np.int64(n).tobytes(), ids.tobytes(), *narrow, b"" if decided else b"\n".join(x[0] for x in items)]))
+    wide = [np.array([x[c] for x in items], np.int64) for c in (1, 2, 3)]
+    wide[0] = np.diff(wide[0], prepend=np.int64(0))
+    narrow = [np.array([x[c] for x in items], np.int64).astype(np.int32).tobytes() for c in ((4, 5) if decided else (4,))]
+    return compressor.compress(b"".join([np.int64(n).tobytes(), *(w.tobytes() for w in wide), *narrow, b"" if decided else b"\n".join(x[0] for x in items)]))
 
 
 def _open_blob(blob: bytes, decided: bool, decompressor) -> tuple[np.ndarray, bytes]:
-    """(ids, keys, places and, of what was decided, windows) as int64 rows, and the packed strings."""
+    """(ids, keys, second keys, places and, of what was decided, windows) as int64 rows, and the packed strings."""
     raw = decompressor.decompress(blob)
-    n, columns = int(np.frombuffer(raw, np.int64, 1)[0]), 3 if decided else 2
-    ids = np.cumsum(np.frombuffer(raw, np.int64, n, 8))
-    narrow = np.frombuffer(raw, np.int32, columns * n, 8 + 8 * n).reshape(columns, n)
-    return np.vstack([ids, narrow.astype(np.int64)]), raw[8 + (8 + 4 * columns) * n :]
+    n, columns = int(np.frombuffer(raw, np.int64, 1)[0]), 2 if decided else 1
+    wide = np.frombuffer(raw, np.int64, 3 * n, 8).reshape(3, n).copy()
+    wide[0] = np.cumsum(wide[0])
+    narrow = np.frombuffer(raw, np.int32, columns * n, 8 + 24 * n).reshape(columns, n)
+    return np.vstack([wide, narrow.astype(np.int64)]), raw[8 + (24 + 4 * columns) * n :]
 
 
 def _cut(window: int, mini: int, buckets: int):
@@ -105,7 +122,7 @@ def _cut(window: int, mini: int, buckets: int):
             return out
 
         for batch in batches:
-            ids, keys = doc_ids(batch.column("id")), batch.column("key").to_numpy(zero_copy_only=False)
+            ids, keys, keys2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key", "key2"))
             for first_row, _, words in blocks(batch.column("text"), NOT_SPACE):
                 first, count, least = super_kmers(words, window, mini)
                 if not len(first):
@@ -120,12 +137,12 @@ def _cut(window: int, mini: int, buckets: int):
                         smallest[p] = d
                 bucket = (mix(least) % np.uint64(buckets)).astype(np.int64).tolist()
                 place = (first - words.row[row]).tolist()
-                for p, d, k, at, c, b in zip(packed, doc, keys[first_row + row].tolist(), place, count.tolist(), bucket):
+                for p, d, k, k2, at, c, b in zip(packed, doc, keys[first_row + row].tolist(), keys2[first_row + row].tolist(), place, count.tolist(), bucket):
                     if d > smallest[p]:
-                        waiting.setdefault(-1 - b, []).append((b"", d, k, at, c))
+                        waiting.setdefault(-1 - b, []).append((b"", d, k, k2, at, c))
                         size += 40
                     else:
-                        waiting.setdefault(b, []).append((p, d, k, at, c))
+                        waiting.setdefault(b, []).append((p, d, k, k2, at, c))
                         size += len(p) + 40
                 if size >= GATHER_BYTES:
                     yield flush()
@@ -183,48 +200,113 @@ def _repeats(head: np.ndarray, text: bytes, window: int) -> tuple[np.ndarray, np
     return order[item[begin]], begin - first_window, stop - first_window
 
 
-def _judge(window: int):
+_FOUND = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("key2", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("words", pa.binary())])
+
+
+def _found(rows: np.ndarray, first: np.ndarray, last: np.ndarray, words: list[bytes] | None = None) -> pa.RecordBatch:
+    """rows: ids and both keys; words are those of windows that are still to be judged."""
+    columns = [*(pa.array(r) for r in rows[:3]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
+    return pa.record_batch([*columns, pa.nulls(len(first), pa.binary()) if words is None else pa.array(words, pa.binary())], schema=_FOUND)
+
+
+def _passed_on(head: np.ndarray, text: bytes, window: int) -> Iterator[pa.RecordBatch]:
+    """Every window of a blob with its words."""
+    lines = text.split(b"\n")
+    data, offsets = b"".join(lines), np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))])
+    items = pa.Array.from_buffers(pa.large_binary(), len(lines), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    for first, _, words in blocks(items, NOT_SPACE, limit=JUDGED_BYTES):
+        row, n = words.row_of_word(), words.n - window + 1
+        at = np.flatnonzero(row[:n] == row[window - 1 :])
+        item, begin, raw = first + row[at], at - words.row[row[at]], data[offsets[first] : offsets[first] + len(words.data)]
+        place = head[3][item] + begin
+        spans = zip(words.start[at].tolist(), words.end[at + window - 1].tolist())
+        yield _found(head[:, item], place, place + window, [raw[i:j] for i, j in spans])
+
+
+def _judge(window: int, largest: int):
+    """Spans that a bucket decides; windows of a bucket of more than ``largest`` packed bytes come back with their words instead."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decompressor = zstandard.ZstdDecompressor()
 
-        def judged(blobs: list[bytes], decided: bool) -> pa.RecordBatch | None:
-            opened = [_open_blob(b, decided, decompressor) for b in blobs]
+        def judged(opened: list[tuple[np.ndarray, bytes]], decided: bool) -> Iterator[pa.RecordBatch]:
             head = np.concatenate([h for h, _ in opened], axis=1)
             if decided:
-                item, begin, stop = np.arange(head.shape[1]), np.zeros(head.shape[1], np.int64), head[3]
+                item, begin, stop = np.arange(head.shape[1]), np.zeros(head.shape[1], np.int64), head[4]
             elif head.shape[1] < 2 or (head[0] == head[0][0]).all():
-                return None
+                return
             else:
                 item, begin, stop = _repeats(head, b"\n".join(t for _, t in opened), window)
-            if not len(item):
-                return None
-            at = head[2][item]
-            return pa.record_batch([pa.array(head[0][item]), pa.array(head[1][item].astype(np.int32)), pa.array((at + begin).astype(np.int32)), pa.array((at + stop + window - 1).astype(np.int32))], names=["id", "key", "first", "last"])
+            if len(item):
+                at = head[3][item]
+                yield _found(head[:, item], at + begin, at + stop + window - 1)
 
-        bucket, blobs = None, []
+        bucket, opened, size = None, [], 0
         for batch in batches:
             for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
                 if b != bucket:
-                    if blobs and (out := judged(blobs, bucket < 0)):
-                        yield out
-                    bucket, blobs = b, []
-                blobs.append(blob.as_py())
-        if blobs and (out := judged(blobs, bucket < 0)):
-            yield out
+                    if opened:
+                        yield from judged(opened, bucket < 0)
+                    bucket, opened, size = b, [], 0
+                one = _open_blob(blob.as_py(), b < 0, decompressor)
+                size += len(one[1])
+                if b < 0 and opened:  # nothing of these is compared
+                    yield from judged(opened, True)
+                    opened = []
+                if size > largest:
+                    for waiting in [*opened, one]:
+                        yield from _passed_on(*waiting, window)
+                    opened = []
+                else:
+                    opened.append(one)
+        if opened:
+            yield from judged(opened, bucket < 0)
 
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, mini: int = 3, bucket_bytes: int = 4 << 20) -> DataFrame:
-    """(id, key, first, last): word ranges that windows of smaller doc_ids cover; key is a hash of the text, which tells rows of one doc_id apart.
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of windows sorted by (words, id), those whose id is not their words' first."""
+    words, least = None, 0
+    for batch in batches:
+        ids, at = batch.column("id").to_pylist(), []
+        for i, (w, d) in enumerate(zip(batch.column("words").to_pylist(), ids)):
+            if w != words:
+                words, least = w, d
+            elif d > least:
+                at.append(i)
+        if at:
+            yield batch.take(pa.array(at)).drop_columns(["words"])
+
+
+def _identified(docs: DataFrame) -> dict[str, Column]:
+    """ID, KEY and KEY2 of each row: ids that rows share (a null id among them) are told apart by 128 bits of the text."""
+    shared = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__skyledger_n")).filter("__skyledger_n > 1").take(1)
+    apart = F.lit(True) if shared else F.col("doc_id").isNull()
+    bits = lambda *c: F.when(apart, F.xxhash64(*c)).otherwise(F.lit(0).cast("long"))
+    return {ID: F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), KEY: bits(F.col("text")), KEY2: bits(F.lit("second"), F.col("text"))}
+
+
+def repeated_spans(docs: DataFrame, window: int = 13, mini: int = 3, bucket_bytes: int = 4 << 20, largest: int = LARGEST, identity: dict[str, Column] | None = None) -> DataFrame:
+    """(id, key, key2, first, last): word ranges that windows of smaller doc_ids cover; the keys tell rows of one doc_id apart.
 
-    bucket_bytes sets how many buckets the measured bytes of all texts are dealt to.
+    bucket_bytes sets how many buckets the measured bytes of all texts are dealt to; a bucket of more
+    than ``largest`` packed bytes goes through the second shuffle.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long").alias("id"), F.hash("text").alias("key"), "text")
+    spark = docs.sparkSession
+    texts = docs.select(*[c.alias(n) for c, n in zip((identity or _identified(docs)).values(), ("id", "key", "key2"))], "text")
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, int(total * 3 // bucket_bytes))
     packed = texts.mapInArrow(_cut(window, mini, buckets), "bucket long, blob binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge(window), _INTERVALS)
+    tasks = int(total // TASK_BYTES)
+    by = (tasks, "bucket") if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else ("bucket",)
+    spans = f"{_ROW}, first int, last int"
+    first, _ = store(packed.repartition(*by).sortWithinPartitions("bucket").mapInArrow(_judge(window, largest), f"{spans}, words binary"), "spans")
+    hot = first.filter("words is not null")
+    done = first.filter("words is null").drop("words")
+    if not hot.take(1):
+        return done
+    return done.unionByName(hot.repartition("words").sortWithinPartitions("words", "id").mapInArrow(_later, spans))
 
 
 def _keep(with_text: bool):
@@ -252,22 +334,23 @@ def _keep(with_text: bool):
             columns = {name: out.column(name) for name in out.schema.names}
             if with_text:
                 columns["text"] = pa.array(texts, pa.string())
-            columns |= {"_n_words": pa.array(n_words, pa.int64()), "_n_removed": pa.array(n_removed, pa.int64()), "_kept_sha256": pa.array(sha, pa.string())}
+            columns |= {N_WORDS: pa.array(n_words, pa.int64()), N_REMOVED: pa.array(n_removed, pa.int64()), KEPT_SHA256: pa.array(sha, pa.string())}
             yield pa.record_batch(list(columns.values()), names=list(columns))
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, mini: int = 3, with_text: bool = True) -> DataFrame:
-    """All columns of docs with the repeated words cut out of text, and _n_words, _n_removed, _kept_sha256.
+def remove_repeats(docs: DataFrame, window: int = 13, mini: int = 3, with_text: bool = True, largest: int = LARGEST) -> DataFrame:
+    """All columns of docs with the repeated words cut out of text, and N_WORDS, N_REMOVED, KEPT_SHA256.
 
     A text that loses nothing stays byte for byte; otherwise the kept words stand joined by one space.
     """
-    spans = repeated_spans(docs, window, mini).groupBy("id", "key").agg(F.collect_list(F.struct("first", "last")).alias(SPANS))
-    columns = docs.columns
-    left = docs.withColumns({ID: F.coalesce(F.col("doc_id"), F.lit(NO_ID)).cast("long"), KEY: F.hash("text")})
-    joined = left.join(spans.withColumnsRenamed({"id": ID, "key": KEY}), [ID, KEY], "left").drop(ID, KEY)
+    row, identity = [ID, KEY, KEY2], _identified(docs)
+    found = repeated_spans(docs, window, mini, largest=largest, identity=identity)
+    spans = found.groupBy("id", "key", "key2").agg(F.collect_list(F.struct("first", "last")).alias(SPANS)).withColumnsRenamed({"id": ID, "key": KEY, "key2": KEY2})
+    joined = docs.withColumns(identity).join(spans, row, "left").drop(*row)
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    schema = ", ".join([*kept, *["text string"] * with_text, "_n_words long", "_n_removed long", "_kept_sha256 string"])
+    added = [N_WORDS, N_REMOVED, KEPT_SHA256]
+    schema = ", ".join([*kept, *["text string"] * with_text, f"{N_WORDS} long, {N_REMOVED} long, {KEPT_SHA256} string"])
     out = joined.mapInArrow(_keep(with_text), schema)
-    return out.select(*[c for c in columns if with_text or c != "text"], "_n_words", "_n_removed", "_kept_sha256")
+    return out.select(*[c for c in docs.columns if with_text or c != "text"], *added)
