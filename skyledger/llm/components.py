@@ -1,4 +1,12 @@
-"""Connected components over an edge table, by alternating large-star and small-star rounds."""
+"""Connected components over an edge table, by alternating large-star and small-star rounds.
+
+Hot nodes: a node with more than 1/HUBS of all edge ends has at most HUBS like it, so the least
+neighbours of these are broadcast and their links stay where they are; only the links of all
+other nodes are shuffled to meet theirs.
+
+Defined results: an empty edge table gives no rows; repeated edges count once; edges whose
+ends are null do not occur (callers key nodes by values that are never null).
+"""
 
 from __future__ import annotations
 
@@ -7,20 +15,30 @@ from pyspark.sql import functions as F
 
 from .scratch import forget, store
 
+#: Nodes that may be broadcast, at most, and the links that make a node one of them, at least.
+HUBS, HUB_LINKS = 1000, 256
+
+
+def _with_least(links: DataFrame, pairs: DataFrame, ends: int) -> DataFrame:
+    """links (u, v) with m, the least v that u has in pairs (u, v), of which there are ``ends`` at most."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hub = F.col("n") > max(ends / HUBS, HUB_LINKS)
+    hubs = F.broadcast(least.filter(hub).select("u", "m"))
+    others = links.join(hubs.select("u"), "u", "left_anti").join(least.filter(~hub).select("u", "m"), "u")
+    return links.join(hubs, "u").unionByName(others)
+
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the node's least neighbour (or itself)."""
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Every larger neighbour of a node is linked to the node's least neighbour (or itself): a link for each edge."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return _with_least(both.filter("v > u"), both, 2 * n).select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node itself, is linked to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").filter("v != m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return linked.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    own = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("a"), F.col("m").alias("b"))
+    return _with_least(down, down, n).filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(own)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,14 +49,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     current, path = store(edges.select("a", "b").distinct(), "edges")
-    before = None
+    before, n = None, current.count()
     while True:
-        after, after_path = store(_small_star(_large_star(current)).distinct(), "edges")
+        after, after_path = store(_small_star(_large_star(current, n), n).distinct(), "edges")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         forget(spark, path)
         current, path = after, after_path
         if state == before or not state[0]:
             break
-        before = state
+        before, n = state, state[0]
     found = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return found.union(found.select(F.col("component").alias("node"), "component").distinct())
