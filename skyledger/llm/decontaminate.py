@@ -1,18 +1,22 @@
 """Benchmark decontamination with a broadcast hash set of test n-grams.
 
 The benchmark's windows (``size`` consecutive words of an item; an item with fewer is one
-window) are hashed, packed with their words and broadcast: their bytes are measured first and
+window) are hashed and broadcast as sorted arrays over the benchmark's packed words: 24 bytes a
+window and the words once, so at most 14 times the text, whose bytes are measured first and
 must stay within ``broadcast_bytes``. Documents are scanned once: every window's hash is
 looked up, and a hit counts only after its words equal the benchmark's. A larger
-benchmark takes the other way, a join of document and benchmark windows on their words.
+benchmark takes the other way, a join of document and benchmark windows on their words, where
+a window that very many documents have is one that the adaptive plan splits.
 
 Defined results: null and empty texts have no words and no hits; items without words never
-occur; items that share an id count once; equal rows give equal results.
+occur; items that share an id count once, a null id counts as an empty one; equal rows give
+equal results, a row for each; very long texts are read whole; an empty table gives no rows, an
+empty benchmark no hits. Columns of docs keep their names and values, but for names that begin
+with __skyledger_, which are the operator's own.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 from .textbatch import ALNUM, blocks, window_hashes
 
 #: Largest benchmark, in bytes of text, that is broadcast.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 #: Log2 of the bits in the filter that most document windows end at.
 _FILTER_BITS = 22
 
@@ -31,34 +35,47 @@ _HITS = "n_words long, n_hit long, items array<string>, spans array<struct<first
 
 
 class NgramSet:
-    """Hashes, words and items of all benchmark windows; small enough to broadcast."""
+    """Benchmark windows by length k: sorted hashes, and of each where its words stand in ``text`` and whose they are."""
 
     def __init__(self, items: list[tuple[str, str]], size: int) -> None:
-        self.windows: dict[int, dict[bytes, set[str]]] = {}
-        self.hashes: dict[int, np.ndarray] = {}
-        found: dict[int, set[int]] = {}
-        texts = pa.array([t for _, t in items], pa.string())
-        for first, last, words in blocks(texts, ALNUM, lower=True) if items else ():
+        self.names = sorted({i for i, _ in items})
+        number = {name: n for n, name in enumerate(self.names)}
+        owner = np.array([number[i] for i, _ in items], np.int32)
+        texts, found, base = [], {}, 0
+        for first, last, words in blocks(pa.array([t for _, t in items], pa.string()), ALNUM, lower=True) if items else ():
             text, start, end = words.joined()
-            h = words.hashes()
-            for r in range(last - first):
-                a, b = int(words.row[r]), int(words.row[r + 1])
-                if a == b:
-                    continue
-                k = min(size, b - a)
-                found.setdefault(k, set()).update(window_hashes(h[a:b], k).tolist())
-                known = self.windows.setdefault(k, {})
-                for i in range(a, b - k + 1):
-                    known.setdefault(text[start[i] : end[i + k - 1]], set()).add(items[first + r][0])
-        self.filters: dict[int, np.ndarray] = {}
-        for k, x in found.items():
-            self.hashes[k] = np.array(sorted(x), np.uint64)
+            counts, h, row = words.counts(), words.hashes(), words.row_of_word()
+            for k in np.unique(np.minimum(counts[counts > 0], size)).tolist():
+                at = np.flatnonzero(row[: words.n - k + 1] == row[k - 1 :])
+                if k < size:
+                    at = at[counts[row[at]] == k]
+                place = np.stack([base + start[at], end[at + k - 1] - start[at], owner[first + row[at]]])
+                found.setdefault(k, []).append((window_hashes(h, k)[at], place))
+            texts.append(text)
+            base += len(text)
+        self.text = b"".join(texts)
+        self.hashes, self.start, self.length, self.owner, self.filters = {}, {}, {}, {}, {}
+        for k, parts in found.items():
+            h, place = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], axis=1)
+            order = np.argsort(h, kind="stable")
+            self.hashes[k], self.start[k] = h[order], place[0, order]
+            self.length[k], self.owner[k] = place[1, order].astype(np.int32), place[2, order].astype(np.int32)
             self.filters[k] = np.zeros(1 << _FILTER_BITS, bool)
             self.filters[k][self.hashes[k] >> np.uint64(64 - _FILTER_BITS)] = True
+        self.seen: dict[tuple[int, bytes], frozenset[str]] = {}
 
     def candidates(self, h: np.ndarray, k: int) -> np.ndarray:
         at = np.flatnonzero(self.filters[k][h >> np.uint64(64 - _FILTER_BITS)])
-        return at[np.isin(h[at], self.hashes[k])]
+        place = np.minimum(np.searchsorted(self.hashes[k], h[at]), len(self.hashes[k]) - 1)
+        return at[self.hashes[k][place] == h[at]]
+
+    def items_with(self, k: int, h: np.uint64, words: bytes) -> frozenset[str]:
+        """Items that have these words, looked up by their hash and compared."""
+        if (k, words) not in self.seen:
+            low, high = np.searchsorted(self.hashes[k], h, "left"), np.searchsorted(self.hashes[k], h, "right")
+            spans = zip(self.start[k][low:high].tolist(), self.length[k][low:high].tolist(), self.owner[k][low:high].tolist())
+            self.seen[k, words] = frozenset(self.names[o] for a, n, o in spans if self.text[a : a + n] == words)
+        return self.seen[k, words]
 
 
 def _scan(shared):
@@ -70,14 +87,15 @@ def _scan(shared):
                 h, row = words.hashes(), None
                 hits: dict[int, list[tuple[int, int, set[str]]]] = {}
                 joined = None
-                for k, known in grams.windows.items():
-                    for i in grams.candidates(window_hashes(h, k), k).tolist():
+                for k in grams.hashes:
+                    of_window = window_hashes(h, k)
+                    for i in grams.candidates(of_window, k).tolist():
                         if row is None:
                             row, joined = words.row_of_word(), words.joined()
                         if row[i] != row[i + k - 1]:
                             continue
                         text, start, end = joined
-                        if (who := known.get(text[start[i] : end[i + k - 1]])) is not None:
+                        if who := grams.items_with(k, of_window[i], text[start[i] : end[i + k - 1]]):
                             at = i - int(words.row[row[i]])
                             hits.setdefault(int(row[i]), []).append((at, at + k, who))
                 n_words += words.counts().tolist()
@@ -112,7 +130,7 @@ def _word_array(text: str) -> str:
 def _scan_by_join(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     """The same columns for benchmarks of any size: document windows meet benchmark windows in a shuffle."""
     id_ = "__skyledger_row"
-    docs = docs.withColumn(id_, F.xxhash64(F.struct(*docs.columns)))
+    docs = docs.withColumn(id_, F.struct(F.xxhash64(*docs.columns).alias("a"), F.xxhash64(F.lit("second"), *docs.columns).alias("b")))
     bench = items.select("item", F.expr(_word_array("text")).alias("w")).filter("size(w) > 0").withColumn("k", F.expr(f"least(size(w), {size})"))
     grams = bench.select("item", "k", F.explode(F.expr("transform(sequence(0, size(w) - k), i -> array_join(slice(w, i + 1, k), ' '))")).alias("gram")).distinct()
     lengths = F.broadcast(bench.groupBy().agg(F.collect_set("k").alias("ks")))  # one row, size values at most
@@ -171,6 +189,3 @@ def spans_removed(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadca
     found = scan(docs, benchmark, size, broadcast_bytes)
     return found.mapInArrow(_cut, found.schema).select(*docs.columns)
 
-
-def items_sha256(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -10,7 +10,9 @@ are found by byte search on the normalised text.
 Base phrases are counted beside that: places where a phrase's words stand consecutively.
 
 Defined results: null is an empty text; an empty text has no words, places or labels, null
-first and last words and score 0; equal rows give equal results.
+first and last words and score 0; equal rows give equal results, a row for each; places of one
+phrase may overlap and all count; a very long text costs in proportion to its length; an empty
+table gives no rows. Only doc_id, of any type, and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import re
 from pyspark.sql import DataFrame
@@ -49,7 +52,7 @@ TEMPLATES = {
         the software is provided {_AS_IS} without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose
         and <<noninfringement|non infringement>> in no event shall {{{{10}}}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise
         arising from out of or in connection with the software or the use or other dealings in the software""",
-    "apache-notice": "licensed under the apache license [[version]] [[2 0]] [[the <<license|“license”>>]]",
+    "apache-notice": "licensed under the apache license <<version 2 0|2 0|version 2|v2>> [[the <<license|“license”>>]]",
     "apache-header": f"""licensed under the apache license version 2 0 [[the <<license|“license”>>]] you may not use this file except in compliance with the license
         you may obtain a copy of the license at {{{{8}}}} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an {_AS_IS} basis
         without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license""",
@@ -75,7 +78,7 @@ TEMPLATES = {
         in no event shall {{{{8}}}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
         whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software""",
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "reserved-notice": "[[copyright]] [[c]] {{6}} all rights reserved",
+    "reserved-notice": "copyright [[c]] {{8}} all rights reserved",
 }
 
 _MARKUP = re.compile(r"\[\[|\]\]|<<|>>|\||\{\{\d+\}\}|[^\s\[\]{}<>|]+")
@@ -211,43 +214,37 @@ class Scanner:
 
     def matches(self, text: bytes) -> list[tuple[str, int, int]]:
         """(label, first word, words) of each accepted template; the earliest start of each anchor place."""
-        out = []
+        out, spaces = [], None
         for label, automaton, anchor, before in self.templates:
             at = text.find(anchor)
             while at >= 0:
-                back = at
-                starts = [at]
-                for _ in range(before):
-                    if back <= 0:
+                spaces = _spaces(text) if spaces is None else spaces
+                word = int(np.searchsorted(spaces, at))
+                for start in range(max(0, word - before), word + 1):
+                    reach = int(spaces[min(start + automaton.longest + 1, len(spaces) - 1)])
+                    n = automaton.accepts(text[spaces[start] + 1 : reach].split())
+                    if n > word - start:
+                        out.append((label, start, n))
                         break
-                    back = text.rfind(b" ", 0, back)
-                    starts.append(back)
-                low = starts[-1]
-                reach = at
-                for _ in range(automaton.longest + 1):
-                    if (reach := text.find(b" ", reach + 1)) < 0:
-                        reach = len(text) - 1
-                        break
-                for s in reversed(starts):
-                    if (n := automaton.accepts(text[s + 1 : reach].split())) >= 0:
-                        covered = len(text[s:at].split())
-                        if n > covered:
-                            out.append((label, text.count(b" ", 0, s + 1) - 1, n))
-                            break
-                assert low >= 0
                 at = text.find(anchor, at + 1)
         return out
 
     def places(self, text: bytes) -> list[tuple[str, int]]:
-        out = []
+        out, spaces = [], None
         for phrase, label in self.phrases:
             at = text.find(phrase)
             while at >= 0:
-                out.append((label, text.count(b" ", 0, at + 1) - 1))
+                spaces = _spaces(text) if spaces is None else spaces
+                out.append((label, int(np.searchsorted(spaces, at))))
                 at = text.find(phrase, at + 1)
         return out
 
 
+def _spaces(text: bytes) -> np.ndarray:
+    """Where the blanks of a normal() text are: word i starts after the i-th."""
+    return np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+
+
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label:string,first:long,words:long>>"
 
 

@@ -1,12 +1,14 @@
 """Quality rules as a bitmask ledger, in DataFrame functions alone.
 
 ``ledger`` measures every text once and evaluates every rule once: a row per document with
-the measurements and a bit for each rule that failed. A policy is a version and a mask
-of rules that count; applying one, or asking what each rule of it costs, reads the ledger
-only (``verdicts``, ``ablation``) and works on the bits.
+the measurements and a bit for each rule that failed; ``stored_ledger`` writes that to the shared
+folder. A policy is a version and a mask of rules that count; applying one, or asking what
+each rule of it costs, reads the ledger only (``verdicts``, ``ablation``) and works on the bits.
 
 Defined results: null is an empty text; an empty text has no words and all counts zero, and
-fails the shortness rule; equal rows give equal results.
+fails the shortness rule; equal rows give equal results, a row for each; of equal lines or
+windows the later ones, or all, count as said; very long texts are measured whole; an empty table
+gives no rows. Only doc_id, of any type, and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import store
+
 _SPACES = r"[\x20\x09-\x0D]+"
 #: Words in a window whose repetition counts.
 WINDOW = 5
@@ -85,6 +89,11 @@ def ledger(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
     return flat.withColumn("fail_bits", bits)
 
 
+def stored_ledger(docs: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
+    """The ledger, written once: policies and ablations of any version read it again without the texts."""
+    return store(ledger(docs, rules), "ledger")[0]
+
+
 def mask_of(names: tuple[str, ...], rules: dict[str, str] | None = None) -> int:
     order = list(RULES if rules is None else rules)
     return sum(1 << order.index(n) for n in names)

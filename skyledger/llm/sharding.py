@@ -9,8 +9,14 @@ it is the one side that is broadcast.
 A record's place in its shard is its rank in its virtual slot plus the records of the shard's
 earlier slots: gapless from 0 without sorting a whole shard anywhere.
 
-Defined results: null texts have size 16 and crc 0; a null doc_id hashes as null to one slot;
-rows of one doc_id share a slot; ties in a slot are broken by doc_id, crc and size.
+The law is that sizes are near equal: equal texts under different doc_ids are different records
+and may lie in different shards.
+
+Defined results: null and empty texts have size 16 and crc 0; a row without a doc_id goes by
+its text, so such rows spread over the slots; rows of one doc_id share a slot; ties in a slot are
+broken by doc_id, crc and size, and rows alike in all three, which are the same, take the places in
+any order; a text of any length is one record; an empty table gives no rows. Only doc_id and text are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +33,8 @@ SLOTS = 4096
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and the virtual slot of every row."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("vslot"))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64("doc_id"))
+    return docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(key, F.lit(slots)).cast("int").alias("vslot"))
 
 
 def slot_bytes(found: DataFrame) -> DataFrame:
