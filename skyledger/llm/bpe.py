@@ -10,7 +10,10 @@ Pre-tokens are cut without a regular expression engine: code points are mapped t
 (letter, number, space, other) and the boundaries follow from runs of classes. Texts are encoded in groups of bounded size:
 each distinct pre-token of a group is merged once, all of them over one queue.
 
-Defined results: null is an empty text; an empty text has no tokens and decodes to nothing.
+Defined results: null is an empty text; an empty text has no tokens and decodes to nothing; of
+pairs of one rank the left one merges first; equal texts have equal ids, a row for each; very long
+texts and pre-tokens are encoded whole; an empty table gives no rows. Only doc_id, of any type, and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

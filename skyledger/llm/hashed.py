@@ -1,4 +1,8 @@
-"""Hashed presence features of texts, and linear scorers over selected ones in numpy."""
+"""Hashed presence features of texts, and linear scorers over selected ones in numpy.
+
+Defined results: an empty text has no features and gets the score of the bias alone; a repeated
+word is one feature; equal texts have equal features and scores.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +11,14 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .textbatch import Words
+from .textbatch import Words, mix
 
 #: Beginnings (in bytes) of longer words that are features beside the whole word.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Most features that a scorer keeps, and how far (in standard errors) their rates must differ.
 MOST_FEATURES, LEAST_Z = 20_000, 4.0
+#: Features that a training text gives, at most: bounds what the driver gathers from a sample of texts.
+TRAINING_FEATURES = 8192
 _FILTER_BITS = 20
 
 
@@ -37,11 +43,15 @@ def presence(words: Words, prefixes: tuple[int, ...] = PREFIXES) -> tuple[np.nda
     return _once(row, feature)
 
 
-def packed(row: np.ndarray, feature: np.ndarray, n: int) -> list[bytes]:
-    """Each row's features as uint32 bytes."""
-    cut = (4 * np.searchsorted(row, np.arange(n + 1))).tolist()
-    raw = feature.tobytes()
-    return [raw[a:b] for a, b in zip(cut[:-1], cut[1:])]
+def packed(row: np.ndarray, feature: np.ndarray, n: int, most: int = TRAINING_FEATURES) -> list[bytes]:
+    """Each row's features as uint32 bytes; of a very long text ``most``, chosen by a hash of its own."""
+    out = []
+    for part in np.split(feature, np.searchsorted(row, np.arange(1, n)))[:n]:
+        if len(part) > most:
+            own = mix((part.astype(np.uint64) << np.uint64(32)) | np.uint64(int(part.sum(dtype=np.uint64)) & 0xFFFFFFFF))
+            part = np.sort(part[np.argpartition(own, most)[:most]])
+        out.append(part.tobytes())
+    return out
 
 
 def without_copies(rows: list[bytes], least: int = 8) -> list[bytes]:

@@ -7,7 +7,9 @@ label of its documents. A linear scorer over hashed words, their shapes and begi
 the posteriors of a bounded sample (the least hashes of doc_id) and scores every whole text.
 
 Defined results: null is an empty text, which is voted bad by the shortness labeller; equal
-texts have equal scores; an empty table gives no rows.
+texts have equal scores, a row for each; rows without a doc_id are scored but not learnt from; very
+long texts are voted on and scored whole; an empty table gives no rows. Only doc_id, of any type, and
+text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -12,7 +12,10 @@ bucket returns at most one link per member (a spanning forest), never its pairs.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; only
 fingerprints link, so rows that share a doc_id or have none stay apart where their texts
-do; a null doc_id counts as larger than all others and comes back as null.
+do; a null doc_id counts as larger than all others (the largest long stands for it) and comes
+back as null; rows alike in id and text give a row each in near_duplicates and one in
+representatives; very long texts are hashed whole; an empty table gives no rows. doc_id is an integer
+column. Columns of docs keep their names and values, but for names that begin with __skyledger_.
 """
 
 from __future__ import annotations

@@ -8,10 +8,13 @@ correction), so the model cannot win by memorising the positives.
 
 Training reads a bounded sample, the least hashes of doc_id among the rows that may be
 learnt from: ``positives`` confirmed and ``unlabelled`` other texts, near copies in it
-taken once. Scoring reads every whole text.
+taken once, TRAINING_FEATURES of each at most. Scoring reads every whole text.
 
 Defined results: null and empty texts get the score of no features; without a confirmed
-toxic row every score is 0; equal texts have equal scores.
+toxic row every score is 0; equal texts have equal scores, a row for each; rows that share a doc_id
+are scored each by its own text; a row without a doc_id is never learnt from and not held out; very
+long texts are scored whole; an empty table gives no rows. Columns of docs keep their names and
+values, but for names that begin with __skyledger_, which are the operator's own.
 """
 
 from __future__ import annotations

@@ -1,12 +1,18 @@
 """URL filters: host and path rules first, gradient-boosted trees on lexical features for the rest.
 
-The trees are trained from labelled URLs, a bounded sample by least hash of the url. Features:
-length, depth, digit ratio, entropy, numbers of parameters, host labels, hyphens, and block rates of
-host and path suffixes taken from the training URLs.
+The trees are trained from labelled URLs: a caller's own table, or else the pages themselves, a
+url being labelled by evidence in its page's html (``junk_page``), never by the rules. Training
+reads a bounded sample, ``SAMPLE`` urls by least hash. Features: length, depth, digit ratio,
+entropy, numbers of parameters, host labels, hyphens, and block rates of host and path
+suffixes. A training url's rates come from the other folds of hosts, and how many trees are
+kept is decided on hosts that they were not fitted to; where urls tell nothing, that is none, and every
+url gets the share of blocked ones as its score.
 
 Defined results: null, and a url without ``://``, has an empty host and path; no rule fits those,
 they get the trees' verdict on an empty url; without both labels in training every url that
-no rule fits is allowed; equal urls have equal verdicts.
+no rule fits is allowed; equal urls have equal verdicts, a row for each; an empty table gives no rows;
+a null html has no words; very long urls are read whole. Only page_id, of any type, url and html are
+read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -15,14 +21,17 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Training URLs of each label, at most.
-SAMPLE = 10_000
+#: Training URLs, at most.
+SAMPLE = 20_000
+#: Folds of hosts: one decides on the number of trees, and suffix rates are taken out of fold.
+FOLDS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,35 +78,50 @@ def _suffixes(host: str, path: str) -> tuple[str, str, str]:
 
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "host_entropy", "parameters", "hyphens", "percent", "fragment", "tld_rate", "domain_rate", "extension_rate")
 
+Url = tuple[str, str, str]
 
-class Features:
-    """Rows of FEATURES; suffix rates are of the training urls, shrunk towards the mean."""
 
-    def __init__(self, urls: list[tuple[str, str, str]], labels: np.ndarray) -> None:
+def lexical(url: str, host: str, path: str) -> list[float]:
+    """FEATURES but for the rates."""
+    query = url.partition("?")[2].partition("#")[0]
+    digits = sum(c.isdigit() for c in url) / max(len(url), 1)
+    marks = (query.count("=") + query.count("&"), host.count("-"), url.count("%"), float("#" in url))
+    return [len(url), len(host), len(path), path.count("/"), host.count(".") + 1, digits, _entropy(url), _entropy(host), *marks]
+
+
+class SuffixRates:
+    """Block rates by host and path suffix, shrunk towards the mean."""
+
+    def __init__(self, urls: list[Url], labels: np.ndarray) -> None:
         self.mean = float(labels.mean()) if len(labels) else 0.0
-        self.rates: list[dict[str, float]] = [{}, {}, {}]
-        for place in range(3):
-            total, blocked = Counter(), Counter()
-            for (_, host, path), label in zip(urls, labels.tolist()):
-                key = _suffixes(host, path)[place]
-                total[key] += 1
+        self.rates: list[dict[str, float]] = []
+        for suffixes in zip(*(_suffixes(h, p) for _, h, p in urls)) if urls else ((), (), ()):
+            total, blocked = Counter(suffixes), Counter()
+            for key, label in zip(suffixes, labels.tolist()):
                 blocked[key] += label
-            self.rates[place] = {k: (blocked[k] + 5 * self.mean) / (n + 5) for k, n in total.items()}
+            self.rates.append({k: (blocked[k] + 5 * self.mean) / (n + 5) for k, n in total.items()})
+
+    def of(self, urls: list[Url]) -> np.ndarray:
+        return np.array([[r.get(s, self.mean) for r, s in zip(self.rates, _suffixes(h, p))] for _, h, p in urls], float).reshape(len(urls), 3)
+
 
-    def row(self, url: str, host: str, path: str) -> list[float]:
-        query = url.partition("?")[2].partition("#")[0]
-        n = max(len(url), 1)
-        rates = [self.rates[i].get(s, self.mean) for i, s in enumerate(_suffixes(host, path))]
-        return [
-            len(url), len(host), len(path), path.count("/"), host.count(".") + 1, sum(c.isdigit() for c in url) / n, _entropy(url), _entropy(host),
-            query.count("=") + query.count("&"), host.count("-"), url.count("%"), float("#" in url), *rates,
-        ]
+def host_folds(urls: list[Url]) -> np.ndarray:
+    return np.array([crc32(h.encode()) % FOLDS for _, h, _ in urls], np.int64)
+
+
+def out_of_fold(urls: list[Url], labels: np.ndarray) -> np.ndarray:
+    """Rows of FEATURES; a url's suffix rates are those of the other folds."""
+    fold, rates = host_folds(urls), np.zeros((len(urls), 3))
+    for f in range(FOLDS):
+        inside, outside = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        rates[inside] = SuffixRates([urls[i] for i in outside], labels[outside]).of([urls[i] for i in inside])
+    return np.hstack([np.array([lexical(*u) for u in urls], float), rates])
 
 
 class Boosted:
     """Gradient-boosted regression trees for the logistic loss, on histograms of at most ``bins`` quantiles."""
 
-    def __init__(self, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, least: int = 20, shrink: float = 1.0) -> None:
+    def __init__(self, trees: int = 80, depth: int = 3, rate: float = 0.2, bins: int = 32, least: int = 20, shrink: float = 1.0) -> None:
         self.n_trees, self.depth, self.rate, self.bins, self.least, self.shrink = trees, depth, rate, bins, least, shrink
         self.trees: list[list[tuple[int, float, float]]] = []  # (feature or -1, threshold, value) in heap order
         self.base = 0.0
@@ -154,19 +178,65 @@ class Boosted:
         return 1 / (1 + np.exp(-(self.base + sum((self._tree(t, x) for t in self.trees), np.zeros(len(x))))))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[Features, Boosted] | None:
-    """A model from (url, label): label 1 is to be blocked. At most ``sample`` distinct urls of each label are read."""
+    def losses(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Mean logistic loss with none, one, two ... of the trees."""
+        steps = np.stack([np.full(len(x), self.base), *(self._tree(t, x) for t in self.trees)])
+        f = np.cumsum(steps, axis=0)
+        return np.mean(np.logaddexp(0, f) - y * f, axis=1)
+
+
+@dataclass
+class Model:
+    rates: SuffixRates
+    trees: Boosted
+
+    def scores(self, urls: list[Url]) -> np.ndarray:
+        if not urls:
+            return np.zeros(0)
+        return self.trees.probability(np.hstack([np.array([lexical(*u) for u in urls], float), self.rates.of(urls)]))
+
+
+def fit(urls: list[Url], labels: np.ndarray) -> Model:
+    """Trees on out-of-fold features; as many as serve hosts of a fold best that they were not fitted to."""
+    x, fold = out_of_fold(urls, labels), host_folds(urls)
+    known, other = fold != 0, fold == 0
+    trees = 0
+    if known.any() and other.any():
+        trees = int(np.argmin(Boosted().fit(x[known], labels[known]).losses(x[other], labels[other])))
+    return Model(SuffixRates(urls, labels), Boosted(trees).fit(x, labels))
+
+
+def junk_page(html: Column) -> Column:
+    """Evidence that a page is junk: hardly any words, or its text is symbols, capitals or digits in large part."""
+    body = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    text = F.regexp_replace(body, r"<[^>]*+>", " ")
+    count = lambda chars: F.char_length(F.regexp_replace(text, f"[^{chars}]", ""))
+    solid = F.char_length(F.regexp_replace(text, r"\s", ""))
+    words = F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""))
+    return ((words < 50) | (count(r"|#*$%&<>!=_~^") > solid * 0.08) | (count("A-Z") > solid * 0.3) | (count("0-9") > solid * 0.1)).cast("int")
+
+
+def sampled(urls: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(url): distinct urls of least hash, ``sample`` at most. Only about twice as many are ever brought together."""
+    some = urls.filter("url is not null").select("url", F.xxhash64("url").alias("__skyledger_h"))
+    n = some.agg(F.approx_count_distinct("__skyledger_h")).first()[0]
+    if n > 2 * sample:
+        some = some.filter(F.col("__skyledger_h") < -(2**63) + 2**64 * 2 * sample // n)
+    return some.distinct().orderBy("__skyledger_h", "url").limit(sample).select("url")
+
+
+def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """A model from (url, label): label 1 is to be blocked; of urls with both labels the greater counts."""
     host, path = host_and_path(F.col("url"))
-    rows: list = []
-    for label in (0, 1):
-        own = labelled.filter(F.col("label") == label).filter("url is not null").select("url").distinct()
-        picked = own.orderBy(F.xxhash64("url"), "url").limit(sample).select("url", host.alias("host"), path.alias("path")).collect()
-        if not picked:
-            return None
-        rows += [((r.url, r.host, r.path), label) for r in sorted(picked)]
-    urls, y = [u for u, _ in rows], np.array([x for _, x in rows], float)
-    features = Features(urls, y)
-    return features, Boosted().fit(np.array([features.row(*u) for u in urls], float), y)
+    rows = sampled(labelled.filter("label is not null"), sample).collect()
+    chosen = labelled.sparkSession.createDataFrame(rows, "url string").withColumnRenamed("url", "__skyledger_url")  # sample rows at most
+    own = labelled.join(F.broadcast(chosen), F.col("url") == F.col("__skyledger_url"), "left_semi")
+    found = own.groupBy("url").agg(F.max("label").alias("label")).filter("label is not null").select("url", host.alias("host"), path.alias("path"), "label").collect()
+    found.sort()
+    labels = np.array([r.label for r in found], float)
+    if len(set(labels.tolist())) < 2:
+        return None
+    return fit([(r.url, r.host, r.path) for r in found], labels)
 
 
 SCORE = "__skyledger_block_score"
@@ -174,14 +244,10 @@ SCORE = "__skyledger_block_score"
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model: Model | None = shared.value
         for batch in batches:
-            if model is None or not batch.num_rows:
-                score = np.zeros(batch.num_rows)
-            else:
-                features, trees = model
-                urls, hosts, paths = (batch.column(c).to_pylist() for c in ("url", "host", "path"))
-                score = trees.probability(np.array([features.row(u or "", h, p) for u, h, p in zip(urls, hosts, paths)], float))
+            urls, hosts, paths = (batch.column(c).to_pylist() for c in ("url", "host", "path"))
+            score = np.zeros(len(urls)) if model is None else model.scores([(u or "", h, p) for u, h, p in zip(urls, hosts, paths)])
             yield pa.record_batch([*batch.columns, pa.array(score)], names=[*batch.schema.names, SCORE])
 
     return run
@@ -190,7 +256,7 @@ def _score(shared):
 def judged(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every url.
 
-    labelled: (url, label) to train from; by default the urls that the rules judge.
+    labelled: (url, label) to train from; by default the pages' urls by junk_page() of their html.
     """
     host, path = host_and_path(F.col("url"))
     found = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
@@ -200,8 +266,8 @@ def judged(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = Non
         verdict = F.when(F.col("rule") == r.text, F.lit(r.verdict)).otherwise(verdict)
     found = found.withColumn("rule_verdict", verdict)
     if labelled is None:
-        labelled = found.filter("rule is not null").select("url", (F.col("rule_verdict") == "block").cast("int").alias("label"))
-    shared = pages.sparkSession.sparkContext.broadcast(train(labelled))  # a few dozen trees
+        labelled = pages.select("url", junk_page(F.col("html")).alias("label"))
+    shared = pages.sparkSession.sparkContext.broadcast(train(labelled))  # a few dozen trees, and rates of at most three suffixes a url
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
     scored = found.mapInArrow(_score(shared), f"{schema}, {SCORE} double")
     model = F.when(F.col(SCORE) >= threshold, F.lit("block")).otherwise(F.lit("allow"))

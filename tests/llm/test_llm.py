@@ -4,12 +4,14 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 
 import pytest
 import tiktoken
-import xxhash
+from brute import brute_fingerprint, brute_repeats
+from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, decontaminate, licenses, quality_model, quality_rules, sharding, simhash, substring, toxicity, urlfilter
+from skyledger.llm import bpe, components, decontaminate, hashed, licenses, quality_model, quality_rules, sharding, simhash, substring, toxicity, urlfilter
 from skyledger.llm.queries import URL_RULES, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, first int, spans string, bucket long"
@@ -40,25 +42,29 @@ def odd(spark, rows):
     return spark.createDataFrame([*rows[:9], rows[0], rows[3], (None, "no id at all", None, None, None, None, None, None), (1, "another text of id one", None, None, None, None, None, None)], SCHEMA)
 
 
-def test_substring(docs, rows):
-    words = {r[0]: (r[1] or "").encode().split() for r in rows}
-    first = {}
-    for d in sorted(words):
-        for i in range(len(words[d]) - 12):
-            first.setdefault(tuple(words[d][i : i + 13]), d)
-    for r in substring.remove_repeats(docs).collect():
-        w = words[r.doc_id]
-        gone = {p for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < r.doc_id for p in range(i, i + 13)}
-        kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
-        assert (r._n_words, r._n_removed, r._kept_sha256) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
-        assert r.text == (kept.decode() if gone else next(x[1] for x in rows if x[0] == r.doc_id)) and r.bucket == 7
+def counts_of(found):
+    return [(r[substring.N_WORDS], r[substring.N_REMOVED], r[substring.KEPT_SHA256]) for r in found]
 
 
-def brute_fingerprint(text):
-    words = (text or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
-    k = min(4, len(words))
-    hs = [xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)] if words else []
-    return sum((2 * sum(h >> b & 1 for h in hs) > len(hs)) << b for b in range(64))
+@pytest.mark.parametrize("largest", [substring.LARGEST, 2000, 0])
+def test_substring(docs, rows, largest):
+    want = dict(zip((r[0] for r in rows), brute_repeats(rows)))
+    for r in substring.remove_repeats(docs, largest=largest).collect():
+        text = next(x[1] for x in rows if x[0] == r.doc_id)
+        assert counts_of([r]) == [want[r.doc_id]] and r.bucket == 7
+        assert hashlib.sha256(" ".join((r.text or "").split()).encode()).hexdigest() == want[r.doc_id][2] and (want[r.doc_id][1] or r.text == text)
+
+
+def test_substring_null_shared_ids_and_clashing_names(spark):
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [" ".join(rng.choice("abcdef") for _ in range(40)) + " " + passage for _ in range(6)]
+    made = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (5, "a " * 30), (5, "a " * 20), (7, "a " * 15), (None, ""), (None, None), (9, texts[0]), (9, texts[3]), (9, texts[3])]
+    table = spark.createDataFrame([(*r, i, "x", 3) for i, r in enumerate(made)], "doc_id long, text string, _n_words int, _kept_sha256 string, key int").repartition(3)
+    for largest in (substring.LARGEST, 0):
+        found = sorted(substring.remove_repeats(table, largest=largest).collect(), key=lambda r: r["_n_words"])
+        assert counts_of(found) == brute_repeats(made) and [r.doc_id for r in found] == [r[0] for r in made]
+        assert {(r["_kept_sha256"], r.key) for r in found} == {("x", 3)}
 
 
 def test_simhash(docs, rows):
@@ -158,13 +164,43 @@ def test_quality_rules(docs, rows):
         assert r.n_kept_without == r.n_kept + r.n_only
 
 
-def test_sharding(docs):
-    got = sharding.sharded(docs, shards=4, slots=64).toPandas()
-    assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard")["slot"]) and len(got) == docs.count()
-    sizes = sharding.slot_bytes(sharding.records(docs, 64))
+def test_sharding(spark, docs, rows):
+    table = docs.select("doc_id", "text").union(spark.createDataFrame([(None, f"no id {i}") for i in range(30)] + [(3, "again"), (3, "again")], "doc_id long, text string"))
+    found, sizes = sharding.records(table, 64), sharding.slot_bytes(sharding.records(table, 64))
+    assert len({r.vslot for r in found.filter("doc_id is null").collect()}) > 10
+    bytes_of = {r.vslot: r.bytes for r in sizes.collect()}
+    loads, want = [0] * 4, {}
+    for v in sorted(bytes_of, key=lambda v: (-bytes_of[v], v)):
+        want[v] = loads.index(min(loads))
+        loads[want[v]] += bytes_of[v]
+    got = sharding.sharded(table, shards=4, slots=64).collect()
+    assert {(r.vslot, r.shard) for r in got} == set(want.items())
+    for shard in range(4):
+        own = sorted((r for r in got if r.shard == shard), key=lambda r: (r.vslot, r.doc_id is not None, r.doc_id or 0, r.text_crc32, r["size"]))
+        alike = lambda r: (r.vslot, r.doc_id, r.text_crc32)
+        assert sorted(r.slot for r in own) == list(range(len(own))) and sum(r["size"] for r in own) == loads[shard]
+        assert [alike(r) for r in sorted(own, key=lambda r: r.slot)] == [alike(r) for r in own]
+    texts = {r[0]: (r[1] or "").encode() for r in rows}
+    assert all((r["size"], r.text_crc32) == (len(texts[r.doc_id]) + 16, zlib.crc32(texts[r.doc_id])) for r in got if r.doc_id is not None and r.doc_id != 3)
     first = sharding.first_map(sizes, 4)
     grown = {r.vslot: r.shard for r in sharding.grown_map(first, sizes, 4).collect()}
-    assert all(s == grown[v] or grown[v] == 4 for _, v, s in map(tuple, first.collect()))
+    assert all(s == grown[v] or grown[v] == 4 for _, v, s in map(tuple, first.collect())) and 4 in grown.values()
+
+
+def test_shards_are_near_equal_and_rebalance(spark):
+    rng = random.Random(3)
+    table = spark.createDataFrame([(i, "x" * rng.randint(1, 900)) for i in range(6000)], "doc_id long, text string")
+    sizes = sharding.slot_bytes(sharding.records(table, 512))
+    before = sharding.first_map(sizes, 8)
+    # the slots of one shard grow
+    hot = before.filter("shard = 2").select("vslot")
+    later = sizes.join(hot.withColumn("hot", F.lit(3)), "vslot", "left").select("vslot", (F.col("bytes") * F.coalesce("hot", F.lit(1))).alias("bytes"), "n")
+    after = sharding.rebalanced_map(before, later, 8)
+    moved = before.join(after.select("vslot", F.col("shard").alias("new")), "vslot")
+    spread = lambda m, s: [r.b for r in m.join(s, "vslot").groupBy("shard").agg(F.sum("bytes").alias("b")).collect()]
+    assert max(spread(before, sizes)) < 1.01 * min(spread(before, sizes)) and len(spread(before, sizes)) == 8
+    assert max(spread(after, later)) < 1.1 * min(spread(after, later)) and max(spread(before, later)) > 2.5 * min(spread(before, later))
+    assert moved.filter("shard <> new and shard <> 2").count() == 0 and after.select("version").distinct().collect()[0][0] == 2
 
 
 def test_licenses(spark):
@@ -212,11 +248,87 @@ def test_whole_licences():
     assert labels(GPL.replace("you can redistribute", "you cannot redistribute")) == set()
 
 
+def as_pattern(markup):
+    """A template as a regular expression over words that end in a blank each."""
+    out = []
+    for token in licenses._MARKUP.findall(markup):
+        fixed = {"[[": "(?:", "]]": ")?", "<<": "(?:", ">>": ")", "|": "|"}
+        out.append(fixed.get(token) or (r"(?:\S+ ){0,%d}" % int(token[2:-2]) if token.startswith("{{") else re.escape(token) + " "))
+    return re.compile("".join(out))
+
+
+def test_licences_against_patterns():
+    rng = random.Random(8)
+    small = {
+        "a": "alpha [[beta]] gamma {{2}} delta", "b": "<<alpha|beta gamma>> delta [[beta]] alpha", "c": "[[gamma]] {{1}} beta beta", "d": "delta <<[[alpha]] beta|gamma {{1}}>> gamma", "e": "alpha beta"
+    }
+    patterns, scanner = {k: as_pattern(m) for k, m in small.items()}, licenses.Scanner({"beta gamma": "bg", "beta": "b"}, small)
+    for _ in range(400):
+        words = [rng.choice(["alpha", "beta", "gamma", "delta", "x"]) for _ in range(rng.randint(0, 25))]
+        found = scanner.matches(licenses.normal(" ".join(words)))
+        want = {k for k, p in patterns.items() for i in range(len(words)) if p.match("".join(w + " " for w in words[i:]))}
+        assert {x[0] for x in found} == want
+        for label, at, n in found:
+            assert patterns[label].fullmatch("".join(w + " " for w in words[at : at + n]))
+        places = [("bg", i) for i in range(len(words) - 1) if words[i : i + 2] == ["beta", "gamma"]] + [("b", i) for i, w in enumerate(words) if w == "beta"]
+        assert sorted(scanner.places(licenses.normal(" ".join(words)))) == sorted(places)
+
+
 def test_urls(spark):
-    urls = [None, "nothing", "http://WWW.Example.com/en/1?x#y", "https://a.example.com/en/2", "http://b.net/es/", "x://example.com", "http://other.com/a#b/c"]
-    found = {r.page_id: r for r in urlfilter.judged(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string"), URL_RULES).collect()}
-    assert (found[2].host, found[2].path, found[2].rule) == ("www.example.com", "/en/1", "www.example.com/en/") and found[2].verdict == "allow"
+    urls = [None, "nothing", "http://WWW.Example.com/en/1?x#y", "https://a.example.com/en/2", "http://b.net/es/", "x://example.com", "http://other.com/a#b/c", "http://b.net/es/"]
+    table = spark.createDataFrame([(i, u, None, 1.5) for i, u in enumerate(urls)], "page_id int, url string, html string, score double")
+    found = {r.page_id: r for r in urlfilter.judged(table, URL_RULES).collect()}
+    assert len(found) == 8 and (found[2].host, found[2].path, found[2].rule) == ("www.example.com", "/en/1", "www.example.com/en/") and found[2].verdict == "allow"
     assert [found[i].rule for i in (0, 1, 3, 4, 5, 6)] == [None, None, "example.com/en/", "net/es/", None, "com/"] and found[6].path == "/a"
+    assert [(found[i].host, found[i].path) for i in (0, 1)] == [("", "")] * 2 and found[4].verdict == found[7].verdict == "block"
+    assert urlfilter.judged(table.limit(0), URL_RULES).count() == 0
+
+
+def spam_and_news(rng, n):
+    for _ in range(n):
+        spam = rng.random() < 0.4
+        host = f"{rng.choice(['cheap', 'win'])}-pills{rng.randint(0, 300)}.{rng.choice(['biz', 'com', 'net'])}" if spam and rng.random() < 0.9 else f"{rng.choice(['news', 'lab'])}{rng.randint(0, 300)}.{rng.choice(['org', 'com', 'net'])}"
+        query = "?" + "&".join(f"k{j}={rng.randint(0, 999)}" for j in range(rng.randint(1, 5))) if spam and rng.random() < 0.7 else ""
+        yield f"http://{host}/" + "/".join(f"page{rng.randint(0, 10**6 if spam else 50)}" for _ in range(rng.randint(1, 4))) + query, int(spam)
+
+
+def test_url_trees_judge_hosts_that_they_have_not_seen(spark):
+    rng = random.Random(4)
+    made = [(u, s, u.split("/")[2]) for u, s in spam_and_news(rng, 3000)]
+    seen, unseen = ([x for x in made if zlib.crc32(x[2].encode() + b"#") % 2 == k] for k in (0, 1))
+    pages = spark.createDataFrame([(i, u, None) for i, (u, _, _) in enumerate(unseen)], "page_id int, url string, html string")
+    verdicts = {r.page_id: r for r in urlfilter.judged(pages, [urlfilter.Rule("allow", "biz/")], spark.createDataFrame([x[:2] for x in seen], "url string, label int")).collect()}
+    assert all(r.verdict == "allow" for r in verdicts.values() if r.rule)
+    right = [(verdicts[i].verdict == "block") == bool(s) for i, (_, s, _) in enumerate(unseen) if not verdicts[i].rule]
+    assert len(right) > 500 and sum(right) > 0.95 * len(right) and {r.verdict for r in verdicts.values() if not r.rule} == {"allow", "block"}
+
+
+def test_url_labels_without_meaning_leave_no_trees():
+    rng = random.Random(6)
+    import numpy as np
+
+    urls = [(f"http://h{rng.randint(0, 500)}.org/{i}", f"h{rng.randint(0, 500)}.org", f"/{i}") for i in range(2000)]
+    model = urlfilter.fit(urls, np.array([float(rng.random() < 0.2) for _ in urls]))
+    assert max(model.scores(urls)) < 0.5
+
+
+def test_junk_pages(spark):
+    words = "some plain words of a page that goes on for a while with sentences and stops. " * 6
+    pages = [f"<p>{words}</p><script>{'#$%' * 900}</script>", "<p>few words</p>", f"<p>{words}</p>{'<b>| # $ %</b>' * 90}", f"<p>{words.upper()}</p>", None, f"<p>{words}</p>{' 12345678' * 60}"]
+    found = spark.createDataFrame(list(enumerate(pages)), "i int, html string").select("i", urlfilter.junk_page(F.col("html")).alias("junk")).collect()
+    assert [r.junk for r in sorted(found)] == [0, 1, 1, 1, 1, 1]
+
+
+def test_boosted_trees_split_where_labels_do():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.random((2000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 2] > 0.7)).astype(float)
+    model = urlfilter.Boosted(40).fit(x[:1000], y[:1000])
+    assert ((model.probability(x[1000:]) > 0.5) == y[1000:]).mean() > 0.97
+    losses = model.losses(x[1000:], y[1000:])
+    assert len(losses) == 41 and losses[-1] < 0.2 < losses[0]
 
 
 def test_toxicity_holds_out(spark):
@@ -230,17 +342,109 @@ def test_toxicity_holds_out(spark):
     assert toxicity.train(table.select("doc_id", "text"), table.filter("toxic = 0").select("doc_id", "toxic")) is None
 
 
+def auc(labels, scores):
+    order = sorted(range(len(labels)), key=lambda i: scores[i])
+    ranks = [r + 1 for r, i in enumerate(order) if labels[i]]
+    n = len(ranks)
+    return (sum(ranks) - n * (n + 1) / 2) / (n * (len(labels) - n))
+
+
+def test_quality_scores_follow_labels_never_seen(spark):
+    sf = "/root/testdata/sf0.01"
+    scored = quality_model.classified(spark.read.parquet(f"{sf}/documents.parquet"))
+    rows = scored.join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality is not null"), "doc_id").select("quality", "score", "posterior", "kept").collect()
+    assert len(rows) > 300 and auc([r.quality == 1 for r in rows], [r.score for r in rows]) > 0.95
+    assert sum(r.kept == (r.quality == 1) for r in rows) > 0.9 * len(rows)
+
+
+def test_labeller_accuracies_are_found():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    truth = rng.random(20000) < 0.75
+    cast = np.full((20000, len(quality_model.LABELLERS)), quality_model.ABSTAIN)
+    right = [0.95, 0.9, 0.85, 0.8, 0.9, 0.7, 0.9]
+    for j, p in enumerate(right):
+        speaks, good = rng.random(20000) < 0.7, rng.random(20000) < p
+        cast[speaks, j] = np.where(good == truth, quality_model.GOOD, quality_model.BAD)[speaks]
+    pattern, count = np.unique(quality_model._pattern(cast), return_counts=True)
+    posterior, accuracy = quality_model.fit_labellers(pattern, count)
+    assert np.abs(accuracy - right).max() < 0.05
+    assert ((posterior[np.searchsorted(pattern, quality_model._pattern(cast))] > 0.5) == truth).mean() > 0.95
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(10)
+    vocabulary_ = [f"w{i}" for i in range(5000)]
+    long = " ".join(rng.choice(vocabulary_) for _ in range(250_000)) + "\nLicensed under the MIT License and all rights reserved"
+    made = [(1, long), (2, "head " + long[700_000:] + " tail"), (3, "short text")]
+    assert min(len(t) for _, t in made[:2]) > 700_000
+    table = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    assert counts_of(sorted(substring.remove_repeats(table).collect())) == brute_repeats(made)
+    assert {r.doc_id: r.fingerprint for r in simhash.near_duplicates(table).collect()} == {i: f"{brute_fingerprint(t):016x}" for i, t in made}
+    scan = {r.doc_id: r for r in licenses.license_scan(table).collect()}
+    last = len(licenses.normal(long).split())
+    assert (scan[1].n_words, scan[1].n_base, scan[1].first_word) == (last, 1, last - 3) and scan[1].labels == "mit-notice,reserved"
+    rules = {r.doc_id: r for r in quality_rules.ledger(table).collect()}
+    assert rules[1].n_words == len(long.split()) and rules[1].word_chars == sum(map(len, long.split())) and rules[1].n_repeat_words == 0
+    bench = spark.createDataFrame([(1, " ".join(long.split()[200_000:200_040]))], "item_id long, text string")
+    hits = {r.doc_id: r[decontaminate.N_HIT] for r in decontaminate.scan(table, bench).collect()}
+    assert hits[1] == 40 and hits[3] == 0
+    assert {r.doc_id for r in quality_model.classified(table).collect()} == {1, 2, 3} == {r.doc_id for r in toxicity.scored(table, None).collect()}
+
+
+def test_training_texts_give_a_bounded_number_of_features():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    feature = np.unique(rng.integers(0, 2**32, 30_000, dtype=np.uint32))
+    row = np.concatenate([np.zeros(len(feature), np.int64), np.full(3, 2)])
+    out = hashed.packed(row, np.concatenate([feature, feature[:3]]), 4, most=1000)
+    got = np.frombuffer(out[0], np.uint32)
+    assert [len(x) // 4 for x in out] == [1000, 0, 3, 0] and np.isin(got, feature).all() and (np.diff(got.astype(np.int64)) > 0).all()
+    assert abs(np.searchsorted(feature, got).mean() / len(feature) - 0.5) < 0.05
+
+
+@pytest.mark.parametrize("links", [256, 3])
+def test_components_of_hubs_chains_and_random_links(spark, monkeypatch, links):
+    monkeypatch.setattr(components, "HUB_LINKS", links)
+    rng = random.Random(1)
+    edges = [(500, i) for i in range(300)] + [(i, i + 1) for i in range(600, 640)] + [(rng.randint(700, 900), rng.randint(700, 900)) for _ in range(150)] + [(100, 901)]
+    edges = [e for e in edges if e[0] != e[1]]
+    forest = simhash._Forest(1000)
+    for a, b in edges:
+        forest.join(a, b)
+    got = {r.node: r.component for r in components.components(spark.createDataFrame([*edges, *edges[:50]], "a long, b long")).collect()}
+    assert got == {x: forest.root(x) for e in edges for x in e}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_odd_and_empty_tables(spark, odd):
-    empty = spark.createDataFrame([], SCHEMA)
-    bench = spark.createDataFrame([], "item_id long, text string")
-    for docs, n in ((odd, odd.count()), (empty, 0)):
-        assert substring.remove_repeats(docs).count() == n
-        assert simhash.near_duplicates(docs).count() == n
-        assert decontaminate.scan(docs, bench).count() == n
-        assert quality_rules.ledger(docs).count() == n
-        assert sharding.sharded(docs, 4, 64).count() == n
-        assert licenses.license_scan(docs).count() == n
-        assert bpe.digests(docs, vocabulary()).count() == n
-        assert quality_model.classified(docs).count() == n
-        assert toxicity.scored(docs, None).count() == n
-    assert simhash.representatives(odd).select("doc_id").distinct().count() == simhash.representatives(odd).count()
+    """Null ids, ids with two texts, repeated rows: each row by its own text; and no rows at all."""
+    empty, made = spark.createDataFrame([], SCHEMA), [(r.doc_id, r.text) for r in odd.collect()]
+    bench = spark.createDataFrame([(1, "no id at all")], "item_id long, text string")
+    none = bench.limit(0)
+    every = lambda f: sorted(f, key=lambda x: tuple((y is None, y) for y in x))
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    alnum = lambda t: licenses.normal(t).split()
+    crc = lambda t: zlib.crc32((t or "").encode())
+    d = decontaminate
+    assert every(counts_of(substring.remove_repeats(odd).collect())) == every(brute_repeats(made))
+    assert every((r.doc_id, r.fingerprint) for r in simhash.near_duplicates(odd).collect()) == every((i, f"{brute_fingerprint(t):016x}") for i, t in made)
+    assert every((r.doc_id, r[d.N_WORDS], r[d.N_HIT]) for r in d.scan(odd, bench).collect()) == every((i, len(alnum(t)), 4 * (t == "no id at all")) for i, t in made)
+    assert all(r[d.N_HIT] == 0 for r in d.scan(odd, none).collect())
+    assert every((r.doc_id, r.n_words) for r in quality_rules.ledger(odd).collect()) == every((i, len(words(t))) for i, t in made)
+    assert every((r.doc_id, r.text_crc32) for r in sharding.sharded(odd, 4, 64).collect()) == every((i, crc(t)) for i, t in made)
+    assert every((r.doc_id, r.n_words) for r in licenses.license_scan(odd).collect()) == every((i, len(alnum(t))) for i, t in made)
+    assert every((r.doc_id, r.decoded_sha256) for r in bpe.digests(odd, vocabulary()).collect()) == every((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in made)
+    scores = {}
+    for r in quality_model.classified(odd).collect():
+        scores.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(x) <= len({t or "" for i, t in made if i == k}) for k, x in scores.items()) and len(scores) == len({i for i, _ in made})
+    assert every((r.doc_id, r.text) for r in toxicity.scored(odd, None).collect()) == every(made)
+    for found in (
+        substring.remove_repeats(empty), simhash.near_duplicates(empty), simhash.representatives(empty), d.scan(empty, none), d.scan(empty, bench), quality_rules.ledger(empty), sharding.sharded(empty, 4, 64),
+        licenses.license_scan(empty), bpe.digests(empty, vocabulary()), quality_model.classified(empty), toxicity.scored(empty, None),
+    ):
+        assert found.count() == 0
+    assert every((r.doc_id, r.text) for r in simhash.representatives(odd).collect()) == every(set(map(tuple, simhash.representatives(odd).select("doc_id", "text").collect())))
