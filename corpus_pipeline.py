@@ -2,6 +2,11 @@
 
 Each stage takes the documents that its predecessor kept and returns documents, the last one token digests.
 run() holds every stage's table in the shared folder, so a lost executor costs one stage at most.
+
+Defined results, of every stage as of its operator: null and empty texts are kept (one row of them, since
+they are copies of each other); rows that share a doc_id or have none are judged each by its own text;
+rows alike in id and text become one; very long texts are read whole; an empty table stays empty; further
+columns pass through all stages but the last, whatever their names but for such that begin with __skyledger_.
 """
 
 from __future__ import annotations
@@ -47,7 +52,7 @@ STAGES = [
     ("tokens", tokenise),
 ]
 
-#: SQL can't train the scorer or hash with XXH64; tests/llm hold the stages against brute force.
+#: SQL can't train the scorer or hash with XXH64; tests/llm/test_pipeline.py holds every stage against brute force.
 ORACLE_SQL = None
 
 
