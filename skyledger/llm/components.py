@@ -1,8 +1,7 @@
 """Connected components over an edge table, by alternating large-star and small-star rounds.
 
-Hot nodes: a node with more than 1/HUBS of all edge ends has at most HUBS like it, so the least
-neighbours of these are broadcast and their links stay where they are; only the links of all
-other nodes are shuffled to meet theirs.
+Hot nodes: links meet their node's least neighbour in join_hot, where the nodes with very many
+links are broadcast and only the links of all others are shuffled.
 
 Defined results: an empty edge table gives no rows; repeated edges count once; edges whose
 ends are null do not occur (callers key nodes by values that are never null).
@@ -13,19 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import forget, store
-
-#: Nodes that may be broadcast, at most, and the links that make a node one of them, at least.
-HUBS, HUB_LINKS = 1000, 256
+from .scratch import forget, join_hot, store
 
 
 def _with_least(links: DataFrame, pairs: DataFrame, ends: int) -> DataFrame:
     """links (u, v) with m, the least v that u has in pairs (u, v), of which there are ``ends`` at most."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hub = F.col("n") > max(ends / HUBS, HUB_LINKS)
-    hubs = F.broadcast(least.filter(hub).select("u", "m"))
-    others = links.join(hubs.select("u"), "u", "left_anti").join(least.filter(~hub).select("u", "m"), "u")
-    return links.join(hubs, "u").unionByName(others)
+    return join_hot(links, pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u", ends)
 
 
 def _large_star(edges: DataFrame, n: int) -> DataFrame:

@@ -36,5 +36,21 @@ def forget(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Keys that may be broadcast, at most, and the rows that make a key one of them, at least.
+HOT_KEYS, HOT_ROWS = 1000, 256
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """Inner join with right (key once, n, ...), where n is how many of at most ``rows`` rows left has of the key.
+
+    A key with more than 1/HOT_KEYS of the rows has fewer than HOT_KEYS like it: these are broadcast and their
+    rows stay where they are, so only keys of few rows are shuffled.
+    """
+    hot = F.col("n") > max(rows / HOT_KEYS, HOT_ROWS)
+    few = F.broadcast(right.filter(hot).drop("n"))
+    rest = left.join(few.select(key), key, "left_anti").join(right.filter(~hot).drop("n"), key)
+    return left.join(few, key).unionByName(rest)
+
+
 def id_or_null(column: Column) -> Column:
     return F.when(column != F.lit(NO_ID), column)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import id_or_null, store
+from .scratch import id_or_null, join_hot, store
 from .textbatch import LOWER, NO_ID, NOT_SPACE, blocks, doc_ids
 
 #: Shingles whose bits are counted at once.
@@ -224,11 +224,11 @@ def links(distinct: DataFrame, reach: int = 4) -> DataFrame:
 def _grouped(docs: DataFrame, shingle: int, reach: int, digest: bool = False) -> DataFrame:
     """fingerprints() with component, the least (id, fingerprint) that each can reach."""
     prints, _ = store(fingerprints(docs, shingle, digest), "fingerprints")
-    distinct, _ = store(prints.groupBy("fingerprint").agg(F.min("id").alias("id")), "distinct")
+    distinct, _ = store(prints.groupBy("fingerprint").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct")
     linked = components(links(distinct, reach)).select(F.col("node.fingerprint").alias("fingerprint"), "component")
     own = F.struct("id", "fingerprint")
-    class_of = distinct.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component", own).alias("component"))
-    return prints.join(class_of, "fingerprint")
+    class_of = distinct.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component", own).alias("component"), "n")
+    return join_hot(prints, class_of, "fingerprint", prints.count())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, reach: int = 4) -> DataFrame:

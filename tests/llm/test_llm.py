@@ -11,7 +11,7 @@ import tiktoken
 from brute import brute_fingerprint, brute_repeats
 from pyspark.sql import functions as F
 
-from skyledger.llm import bpe, components, decontaminate, hashed, licenses, quality_model, quality_rules, sharding, simhash, substring, toxicity, urlfilter
+from skyledger.llm import bpe, components, decontaminate, hashed, licenses, quality_model, quality_rules, scratch, sharding, simhash, substring, toxicity, urlfilter
 from skyledger.llm.queries import URL_RULES, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, first int, spans string, bucket long"
@@ -407,7 +407,7 @@ def test_training_texts_give_a_bounded_number_of_features():
 
 @pytest.mark.parametrize("links", [256, 3])
 def test_components_of_hubs_chains_and_random_links(spark, monkeypatch, links):
-    monkeypatch.setattr(components, "HUB_LINKS", links)
+    monkeypatch.setattr(scratch, "HOT_ROWS", links)
     rng = random.Random(1)
     edges = [(500, i) for i in range(300)] + [(i, i + 1) for i in range(600, 640)] + [(rng.randint(700, 900), rng.randint(700, 900)) for _ in range(150)] + [(100, 901)]
     edges = [e for e in edges if e[0] != e[1]]
