@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from .textbatch import _BYTE, _powers, mix
 
 #: Distinct pre-tokens whose ids are kept from group to group.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 #: Characters of texts that are encoded together.
-GATHER_CHARS = 2 << 20
+GATHER_CHARS = 1 << 20
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 _TABLE_BITS, _EMPTY, _SPREAD = 19, np.uint64((1 << 64) - 1), np.uint64(0x9E3779B97F4A7C15)
 _WIDTH = 8  # the bitmap's words have 2 ** _WIDTH bits

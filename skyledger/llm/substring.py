@@ -42,8 +42,10 @@ from .textbatch import NO_ID, NOT_SPACE, Words, blocks, mix, window_hashes
 LONGEST = 1024
 #: Packed bytes that a map task gathers before it sends blobs.
 GATHER_BYTES = 16 << 20
-#: Bytes of a bucket whose windows are hashed at once.
-JUDGED_BYTES = 1 << 20
+#: Bytes of texts whose equal super-k-mers are combined.
+COMBINED_BYTES = 2 << 20
+#: Bytes of a bucket whose windows are hashed at once, and windows that are compared at once.
+JUDGED_BYTES, COMPARED = 1 << 19, 1 << 16
 #: Packed bytes up to which a bucket is judged in memory.
 LARGEST = 24 << 20
 #: Bytes of text for each task of the shuffle, where the session's number of partitions gives more.
@@ -123,7 +125,7 @@ def _cut(window: int, mini: int, buckets: int):
 
         for batch in batches:
             ids, keys, keys2 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "key", "key2"))
-            for first_row, _, words in blocks(batch.column("text"), NOT_SPACE):
+            for first_row, _, words in blocks(batch.column("text"), NOT_SPACE, limit=COMBINED_BYTES):
                 first, count, least = super_kmers(words, window, mini)
                 if not len(first):
                     continue
@@ -182,8 +184,11 @@ def _repeats(head: np.ndarray, text: bytes, window: int) -> tuple[np.ndarray, np
     if not later.any():
         return (np.zeros(0, np.int64),) * 3
     mine, theirs = sort[later], leader[later]
-    a, b, c, d = start[mine], end[mine], start[theirs], end[theirs]
-    same = np.array([data[i:j] == data[k:m] for i, j, k, m in zip(a.tolist(), b.tolist(), c.tolist(), d.tolist())], bool)
+    same = np.zeros(len(mine), bool)
+    for at in range(0, len(mine), COMPARED):
+        m, t = mine[at : at + COMPARED], theirs[at : at + COMPARED]
+        ends = zip(start[m].tolist(), end[m].tolist(), start[t].tolist(), end[t].tolist())
+        same[at : at + COMPARED] = [data[a:b] == data[c:d] for a, b, c, d in ends]
     flag = np.zeros(len(h), bool)
     flag[mine[same]] = True
     if not same.all():  # two windows of one hash: tell them apart by their words

@@ -12,19 +12,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 
 #: Bytes of text handled at once (a longer row makes a block of its own).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 #: Arrays of this many bytes go back to the system when they are freed.
 RETURNED_BYTES = 1 << 20
 
 
 def _return_freed_memory() -> None:
-    """Holds glibc's mmap threshold where it is: left alone it rises to 32 MB, and a worker then keeps what its largest block took."""
+    """Holds glibc's mmap threshold where it is: left alone it rises to 32 MB, and a worker then keeps what its largest block took.
+
+    Arrow's own pool would keep the largest batches in the same way, so a worker takes them from the system.
+    """
     mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
     if mallopt:
         mallopt(-3, RETURNED_BYTES)  # M_MMAP_THRESHOLD
+    if TaskContext.get() is not None:
+        pa.set_memory_pool(pa.system_memory_pool())
 
 
 _return_freed_memory()
