@@ -209,11 +209,16 @@ def fit(urls: list[Url], labels: np.ndarray) -> Model:
 def junk_page(html: Column) -> Column:
     """Evidence that a page is junk: hardly any words, or its text is symbols, capitals or digits in large part."""
     body = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    text = F.regexp_replace(body, r"<[^>]*+>", " ")
-    count = lambda chars: F.char_length(F.regexp_replace(text, f"[^{chars}]", ""))
-    solid = F.char_length(F.regexp_replace(text, r"\s", ""))
-    words = F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""))
-    return ((words < 50) | (count(r"|#*$%&<>!=_~^") > solid * 0.08) | (count("A-Z") > solid * 0.3) | (count("0-9") > solid * 0.1)).cast("int")
+    upper, digits = _UPPER, "0123456789"
+
+    def judge(text: Column) -> Column:
+        lacking = lambda chars: F.char_length(F.translate(text, chars, ""))
+        n, solid = F.char_length(text), lacking(" \t\n\r\f\x0b")
+        words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+        return (words < 50) | (n - lacking("|#*$%&<>!=_~^") > solid * 0.08) | (n - lacking(upper) > solid * 0.3) | (n - lacking(digits) > solid * 0.1)
+
+    # the text without tags is worked out once
+    return F.transform(F.array(F.regexp_replace(body, r"<[^>]*+>", " ")), judge)[0].cast("int")
 
 
 def sampled(urls: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -228,7 +233,7 @@ def sampled(urls: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from (url, label): label 1 is to be blocked; of urls with both labels the greater counts."""
     host, path = host_and_path(F.col("url"))
-    rows = sampled(labelled.filter("label is not null"), sample).collect()
+    rows = sampled(labelled.select("url"), sample).collect()  # before any label is worked out
     chosen = labelled.sparkSession.createDataFrame(rows, "url string").withColumnRenamed("url", "__skyledger_url")  # sample rows at most
     own = labelled.join(F.broadcast(chosen), F.col("url") == F.col("__skyledger_url"), "left_semi")
     found = own.groupBy("url").agg(F.max("label").alias("label")).filter("label is not null").select("url", host.alias("host"), path.alias("path"), "label").collect()
