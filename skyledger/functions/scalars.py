@@ -98,13 +98,6 @@ def one_apart(a: Column, b: Column) -> Column:
     return (F.length(a) == F.length(b)) & (F.aggregate(chars, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0))) == 1)
 
 
-def is_airport_code(text: Column) -> Column:
-    """Three capitals that are neither a weekday nor a month."""
-    #: fixed values
-    taken = ["MON", "TUE", "WED", "THU", "FRI", "SAT", "SUN", "JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC", "OFF"]
-    return text.rlike("^[A-Z]{3}$") & ~text.isin(taken)
-
-
 def csv_cell(text: Column) -> Column:
     return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
@@ -119,12 +112,3 @@ def add_months_overflowing(day: Column, months: Column) -> Column:
     """A date some months on; a day that the month lacks runs over into the next one."""
     first = F.add_months(F.trunc(day, "month"), months)
     return F.date_add(first, F.dayofmonth(day) - 1)
-
-
-def error_kind(predicted: Column, expected: Column) -> Column:
-    """How a read cell differs from its label."""
-    p, e = F.coalesce(predicted, F.lit("")), F.coalesce(expected, F.lit(""))
-    return (
-        F.when(p == e, "match").when(p == "", "missing").when(e == "", "extra").when(F.lower(p) == F.lower(e), "case")
-        .when(F.regexp_replace(p, r"\s", "") == F.regexp_replace(e, r"\s", ""), "spacing").when(F.levenshtein(p, e) <= 2, "close").otherwise("different")
-    )

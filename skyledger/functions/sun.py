@@ -91,3 +91,70 @@ def night_seconds(found: Column, start: Column, stop: Column) -> Column:
     acc = F.struct(found["first"].alias("night"), start.alias("t"), F.lit(0).cast("long").alias("s"))
     add = lambda a, t: a["s"] + F.when(a["night"], t - a["t"]).otherwise(F.lit(0).cast("long"))
     return F.aggregate(F.concat(found["edges"], F.array(stop)), acc, lambda a, t: F.struct((~a["night"]).alias("night"), t.alias("t"), add(a, t).alias("s")), lambda a: a["s"])
+
+
+def subsolar_point(epoch, m=F):
+    """(lat, lon) in degrees where the sun is overhead; Astronomical Almanac, good to a hundredth of a degree. Columns, or arrays with numpy as m."""
+    days = epoch / 86400.0 - 10957.5
+    anomaly = m.radians(357.528 + 0.9856003 * days)
+    ecliptic = m.radians(280.460 + 0.9856474 * days + 1.915 * m.sin(anomaly) + 0.020 * m.sin(2 * anomaly))
+    tilt = m.radians(23.439 - 0.0000004 * days)
+    ascension = m.degrees(m.atan2(m.cos(tilt) * m.sin(ecliptic), m.cos(ecliptic)))
+    turned = ascension - 280.46061837 - 360.98564736629 * days
+    return m.degrees(m.asin(m.sin(tilt) * m.sin(ecliptic))), turned - 360 * m.floor((turned + 180) / 360)
+
+
+def destination(lat, lon, course, arc, m=F):
+    """(lat, lon) of the point ``arc`` degrees away on a course; the longitude goes on from lon and may pass 180."""
+    a, c, d = m.radians(lat), m.radians(course), m.radians(arc)
+    there = m.asin(m.sin(a) * m.cos(d) + m.cos(a) * m.sin(d) * m.cos(c))
+    return m.degrees(there), lon + m.degrees(m.atan2(m.sin(c) * m.sin(d) * m.cos(a), m.cos(d) - m.sin(a) * m.sin(there)))
+
+
+def night_polygon(epoch: float, altitude: float = 0.0, steps: int = 180) -> list[list[float]]:
+    """Ring of [lon, lat] around the part of the Earth where the sun is lower than altitude: a circle around the point opposite the sun.
+
+    Where it holds a pole it is a band from -180 to 180 that is closed along that pole; else longitudes run on and may pass 180.
+    """
+    lat, lon = subsolar_point(np.float64(epoch), np)
+    courses = np.arange(steps + 1) * 360.0 / steps
+    lats, lons = destination(-lat, lon + 180.0, courses, 90.0 + altitude, np)
+    if 90 - abs(lat) > 90 + altitude:
+        return np.stack([np.unwrap(lons, period=360.0), lats], axis=1).tolist()
+    around = np.mod(lons[:-1] + 180, 360) - 180
+    order = np.argsort(around, kind="stable")
+    x, y = around[order], lats[:-1][order]
+    gap = x[0] + 360 - x[-1]
+    seam = y[-1] + (180 - x[-1]) / gap * (y[0] - y[-1]) if gap > 0 else y[0]
+    pole = 90.0 if lat <= 0 else -90.0
+    return [[-180.0, float(seam)], *np.stack([x, y], axis=1).tolist(), [180.0, float(seam)], [180.0, pole], [-180.0, pole], [-180.0, float(seam)]]
+
+
+def fixed_night_band(epoch: float, sunrise: int, sunset: int, lat: float = 89.9) -> list[list[float]]:
+    """Ring of [lon, lat] around the longitudes where local mean time lies between sunset and sunrise, in minutes; corners every 2 and 10 degrees."""
+    west = ((sunset - epoch / 60 % 1440) / 4 + 540) % 360 - 180
+    east = west + (sunrise - sunset) % 1440 / 4
+    across, up = np.append(np.arange(west, east, 2.0), east), np.append(np.arange(-lat, lat, 10.0), lat)
+    sides = [[[x, -lat] for x in across], [[east, y] for y in up], [[x, lat] for x in across[::-1]], [[west, y] for y in up[::-1]]]
+    return [[float(x), float(y)] for side in sides for x, y in side]
+
+
+def night_rings(times: Column, altitude: float = 0.0) -> Column:
+    """array<array<double>>: the night polygon at epoch seconds."""
+
+    @F.pandas_udf("array<array<double>>")
+    def rings(t: pd.Series) -> pd.Series:
+        return t.map(lambda e: None if pd.isna(e) else night_polygon(float(e), altitude))
+
+    return rings(times.cast("double"))
+
+
+def inside_ring(ring: list[list[float]], lon: float, lat: float) -> bool:
+    """Whether a point lies in a ring, its longitude taken to the ring's own turn."""
+    inside = False
+    low = min(x for x, _ in ring)
+    lon = lon + 360 * math.ceil((low - lon) / 360)
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        if (y1 > lat) != (y2 > lat) and lon < x1 + (lat - y1) / (y2 - y1) * (x2 - x1):
+            inside = not inside
+    return inside

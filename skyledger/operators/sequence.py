@@ -50,6 +50,7 @@ def align(a: list[tuple], b: list[tuple], gap: int) -> list[tuple[int | None, in
     """Least-cost global alignment of two row sequences: a pair costs its differing fields, a gap costs ``gap``.
 
     Equal ends are matched first; of equal costs a pair comes before a gap in b, and that before a gap in a.
+    Two bits are kept for each pair of rows between the equal ends, so 10,000 unlike rows take 25 MB.
     """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -59,22 +60,27 @@ def align(a: list[tuple], b: list[tuple], gap: int) -> list[tuple[int | None, in
         tail += 1
     x, y = a[head : len(a) - tail], b[head : len(b) - tail]
     n, m = len(x), len(y)
+    codes: dict = {}
     width = max((len(r) for r in [*x, *y]), default=0)
-    fields = lambda rows: np.array([[*r, *[None] * (width - len(r))] for r in rows], object).reshape(len(rows), width)
-    fx, fy = fields(x), fields(y)
-    cost = np.zeros((n + 1, m + 1), np.int64)
-    cost[:, 0], cost[0, :] = np.arange(n + 1) * gap, np.arange(m + 1) * gap
+    numbered = lambda rows: np.array([[codes.setdefault(v, len(codes)) for v in [*r, *[None] * (width - len(r))]] for r in rows], np.int64).reshape(len(rows), width)
+    fx, fy = numbered(x), numbered(y)
+    # of every cell only whether a pair, or a gap in b, leads to it at least cost: two bits
+    paired, up = np.zeros((n + 1, m // 8 + 1), np.uint8), np.zeros((n + 1, m // 8 + 1), np.uint8)
     steps = np.arange(m + 1) * gap
+    before = steps.copy()
     for i in range(1, n + 1):
-        pair = cost[i - 1, :-1] + (fy != fx[i - 1]).sum(axis=1)
-        row = np.concatenate([[cost[i, 0]], np.minimum(pair, cost[i - 1, 1:] + gap)])
-        cost[i] = np.minimum.accumulate(row - steps) + steps  # gaps along the row
+        pair = np.concatenate([[np.iinfo(np.int64).max // 2], before[:-1] + (fy != fx[i - 1]).sum(axis=1)])
+        row = np.minimum(pair, before + gap)
+        row = np.minimum.accumulate(row - steps) + steps  # gaps along the row
+        paired[i, : (m + 8) // 8], up[i, : (m + 8) // 8] = np.packbits(row == pair), np.packbits(row == before + gap)
+        before = row
+    bit = lambda table, i, j: table[i, j >> 3] >> (7 - (j & 7)) & 1
     out, i, j = [], n, m
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + sum(p != q for p, q in zip(fx[i - 1], fy[j - 1])):
+        if i and j and bit(paired, i, j):
             i, j = i - 1, j - 1
             out.append((head + i, head + j))
-        elif i and cost[i, j] == cost[i - 1, j] + gap:
+        elif i and (not j or bit(up, i, j)):
             i -= 1
             out.append((head + i, None))
         else:
