@@ -163,10 +163,10 @@ def resolved(rows: DataFrame, keys: list[str], order: str, parts: str) -> DataFr
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(order, kind="stable")
         listed = [None if x is None else {k: None if v is None or v != v else v for k, v in (x if isinstance(x, dict) else x.asDict()).items()} for x in p[parts]]
-        return p[[*keys, order]].assign(n=pd.array(whole_dates(listed), "Int64"))
+        return p[[*keys, order]].assign(__number=pd.array(whole_dates(listed), "Int64"))
 
-    found = rows.select(*keys, order, parts).groupBy(*keys).applyInPandas(run, f"{fields}, n long")
-    return rows.join(found, [*keys, order]).withColumns({"date": printed_day(F.col("n")), "day": weekday_name(F.col("n"))}).drop("n")
+    found = rows.select(*keys, order, parts).groupBy(*keys).applyInPandas(run, f"{fields}, __number long")
+    return rows.join(found, [*keys, order]).withColumns({"date": printed_day(F.col("__number")), "day": weekday_name(F.col("__number"))}).drop("__number")
 
 
 # ---- repair -----------------------------------------------------------------------------
@@ -241,11 +241,11 @@ def repaired(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
         whole = lambda v: None if v is None or v != v else v
         listed = [{k: whole(v) for k, v in r.items()} for r in p[["key", "read", "weekday", "has_date", "minute", "duty"]].to_dict("records")]
         listed = [r | {k: None if r[k] is None else int(r[k]) for k in ("key", "weekday", "minute")} for r in listed]
-        return p[[*keys, order]].assign(n=pd.array(repaired_days(listed), "Int64"))
+        return p[[*keys, order]].assign(__number=pd.array(repaired_days(listed), "Int64"))
 
-    found = cells.groupBy(*keys).applyInPandas(run, f"{fields}, n long")
+    found = cells.groupBy(*keys).applyInPandas(run, f"{fields}, __number long")
     kept = [c for c in rows.columns if c not in ("date", "day")]
-    date, day = F.coalesce(printed_day(F.col("n")), F.col("date")), weekday_name(F.col("n"))
+    date, day = F.coalesce(printed_day(F.col("__number")), F.col("date")), weekday_name(F.col("__number"))
     return rows.join(found, [*keys, order]).select(*kept, date.alias("date"), F.coalesce(day, F.col("day") if "day" in rows.columns else F.lit("")).alias("day"))
 
 

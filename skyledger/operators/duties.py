@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.cells import CHECK_IN, CHECK_OUT, HOTEL, MONTHS, text_of
+from ..functions.cells import CHECK_IN, CHECK_OUT, HOTEL, MONTHS, let, text_of
 from ..functions.scalars import fnv1a32
 from .sequence import sessions
 
@@ -54,17 +54,19 @@ def printed_time(text: Column) -> Column:
 
 def row_times(date: Column, begin: Column, end: Column) -> Column:
     """struct<all_day, utc, start, stop> of a row; stop is null for a moment, the whole is null without a date."""
-    day, b, e = printed_date(date), printed_time(begin), printed_time(end)
-    at = lambda t: F.timestamp_add("MINUTE", t["minute"] + t["days"] * 1440, day)
-    start, later = at(b), F.when((at(e) < at(b)) & (e["days"] == 0), F.timestamp_add("DAY", F.lit(1), at(e))).otherwise(at(e))
-    both = b.isNotNull() & e.isNotNull() & (b["utc"] == e["utc"])
-    made = lambda all_day, utc, start, stop: F.struct(F.lit(all_day).alias("all_day"), utc.alias("utc"), start.alias("start"), stop.alias("stop"))
     none = F.lit(None).cast("timestamp_ntz")
-    return (
-        F.when(day.isNull(), None).when(b.isNull() & e.isNull(), made(True, F.lit(True), day, F.timestamp_add("DAY", F.lit(1), day)))
-        .when(both, made(False, b["utc"], start, F.when(later > start, later)))
-        .otherwise(made(False, F.coalesce(b["utc"], e["utc"]), F.coalesce(start, at(e)), none))
-    )
+    made = lambda all_day, utc, start, stop: F.struct(F.lit(all_day).alias("all_day"), utc.alias("utc"), start.alias("start"), stop.alias("stop"))
+
+    def timed(x: Column) -> Column:
+        day, b, e = x["day"], x["b"], x["e"]
+        at = lambda t: F.timestamp_add("MINUTE", t["minute"] + t["days"] * 1440, day)
+        ends = lambda y: made(False, b["utc"], at(b), F.when(y > at(b), y))
+        later = F.when((at(e) < at(b)) & (e["days"] == 0), F.timestamp_add("DAY", F.lit(1), at(e))).otherwise(at(e))
+        one = made(False, F.coalesce(b["utc"], e["utc"]), F.coalesce(at(b), at(e)), none)
+        whole = made(True, F.lit(True), day, F.timestamp_add("DAY", F.lit(1), day))
+        return F.when(day.isNull(), None).when(b.isNull() & e.isNull(), whole).when(b.isNotNull() & e.isNotNull() & (b["utc"] == e["utc"]), let(later, ends)).otherwise(one)
+
+    return let(F.struct(printed_date(date).alias("day"), printed_time(begin).alias("b"), printed_time(end).alias("e")), timed)
 
 
 # ---- rows -------------------------------------------------------------------------------

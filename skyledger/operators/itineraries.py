@@ -53,7 +53,7 @@ def _struct(cells: dict[str, Column], date: str = "d") -> Column:
 
 def _on_line(name: str, header: Column) -> Column:
     """The place, from 1, of a column asked for; null where there is none."""
-    behind, plus = re.match(r"(.*)>(.*)$", name), re.match(r"(.*)\+(\d+)$", name)
+    behind, plus = re.match(r"([^>]*)>(.*)$", name), re.match(r"(.*)\+(\d+)$", name)
     if behind:
         after = _on_line(behind[2], header)
         return let(after, lambda a: F.array_min(F.filter(_places(behind[1], header), lambda p: p > a)))

@@ -37,7 +37,7 @@ ROW_DATE = r"\d{1,2}\s*[A-Za-z]{2,9}\s*['’]?\d{2,4}\b"
 
 def boxes(lines: DataFrame, *keep: str) -> DataFrame:
     """Read lines with box (array of [x, y]) as (*keep, text, confidence, x0, x1, y0, y1, yc, h), the unusable left out."""
-    xs, ys = (F.transform("box", lambda p, i=i: p[i]) for i in (0, 1))
+    xs, ys = F.transform("box", lambda p: p[0]), F.transform("box", lambda p: p[1])
     made = lines.filter(F.size("box") >= 4).select(*keep, F.trim(text_of(F.col("text"))).alias("text"), "confidence", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
     good = made.filter((F.col("text") != "") & (F.col("confidence").isNull() | (F.col("confidence") >= LEAST_CONFIDENCE)))
     return good.withColumns({"yc": (F.col("y0") + F.col("y1")) / 2, "h": F.col("y1") - F.col("y0")})

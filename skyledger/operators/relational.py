@@ -54,19 +54,6 @@ def with_zeros(df: DataFrame, column: str, domain: list[str]) -> DataFrame:
     return every.join(df.groupBy(column).agg(F.count("*").alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def near_pairs(rows: DataFrame, group: str, item: str, share: float = 0.5) -> DataFrame:
-    """(a, b, common, share) of groups that share at least ``share`` of the smaller one's distinct items.
-
-    An inverted index on the item, never all pairs of groups.
-    """
-    items = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    sizes = items.groupBy("g").agg(F.count("*").alias("n"))
-    left, right = items.select(F.col("g").alias("a"), "i"), items.select(F.col("g").alias("b"), "i")
-    common = left.join(right, "i").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    sized = common.join(sizes.select(F.col("g").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("g").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.withColumn("share", F.col("common") / F.least("na", "nb")).filter(F.col("share") >= share).select("a", "b", "common", "share")
-
-
 def item_sets(rows: DataFrame, group: str, item: str) -> DataFrame:
     """(r, items, members): groups of equal item sets with their least member; items are (f, i), the rare ones first."""
     items = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
@@ -92,13 +79,9 @@ def set_pairs(sets: DataFrame, share: float = 0.5) -> DataFrame:
     return both.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), "common", (F.col("common") / F.size("si")).alias("share")).filter(F.col("share") >= share)
 
 
-def near_pairs_whole(rows: DataFrame, group: str, item: str, share: float = 0.5) -> DataFrame:
-    """near_pairs() by set_pairs(): equal sets are compared once, then every pair of their members is given."""
-    sets = item_sets(rows, group, item)
-    of = lambda key: sets.select(F.col("r").alias(key), F.col("members").alias(f"{key}_all"))
-    across = set_pairs(sets, share).join(of("a"), "a").join(of("b"), "b").select(F.explode("a_all").alias("x"), "b_all", "common", "share").select("x", F.explode("b_all").alias("y"), "common", "share")
-    within = sets.select(F.explode("members").alias("x"), "members", F.size("items").cast("long").alias("common")).select("x", F.explode("members").alias("y"), "common", F.lit(1.0).alias("share")).filter("x < y")
-    return across.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "common", "share")
+def set_members(sets: DataFrame) -> DataFrame:
+    """(g, r): every group with the one that stands for its item set."""
+    return sets.select(F.explode("members").alias("g"), "r")
 
 
 def nearest_before(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
@@ -106,3 +89,79 @@ def nearest_before(left: DataFrame, right: DataFrame, keys: list[str], time: str
     tagged = left.withColumns({"__side": F.lit(1), "__value": F.lit(None)}).unionByName(right.select(*keys, time, F.lit(0).alias("__side"), F.struct(value, time).alias("__value")), allowMissingColumns=True)
     last = F.last("__value", ignorenulls=True).over(W.partitionBy(*keys).orderBy(time, "__side").rowsBetween(W.unboundedPreceding, 0))
     return tagged.withColumn("__found", last).filter("__side = 1").withColumns({f"nearest_{value}": F.col(f"__found.{value}"), f"nearest_{time}": F.col(f"__found.{time}")}).drop("__side", "__value", "__found")
+
+
+def nearest_around(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str, reach: float, slack: float = 0.0) -> DataFrame:
+    """Each left row with the value of the nearest right row at or before it (``slack`` beyond counts as before), else of the nearest behind it, both nearer than reach.
+
+    A union and two windows, so a key's rows are sorted and never paired.
+    """
+    none = F.lit(None).cast("struct<at:double,value:string>")
+    mine = left.withColumns({"__p": F.col(at).cast("double") + slack, "__mine": F.lit(1), "__r": none})
+    theirs = right.select(*keys, F.col(at).cast("double").alias("__p"), F.lit(0).alias("__mine"), F.struct(F.col(at).cast("double").alias("at"), F.col(value).cast("string").alias("value")).alias("__r"))
+    w = W.partitionBy(*keys)
+    both = mine.unionByName(theirs, allowMissingColumns=True).withColumns({
+        "__before": F.last("__r", ignorenulls=True).over(w.orderBy("__p", "__mine").rowsBetween(W.unboundedPreceding, 0)), "__behind": F.last("__r", ignorenulls=True).over(w.orderBy(F.desc("__p"), F.desc("__mine")).rowsBetween(W.unboundedPreceding, 0)),
+    })
+    own = F.col("__p") - slack
+    near = lambda c: F.when(F.abs(F.col(f"{c}.at") - own) < reach, F.col(f"{c}.value"))
+    found = both.filter("__mine = 1").withColumns({"nearest": F.coalesce(near("__before"), near("__behind")), "is_behind": near("__before").isNull() & near("__behind").isNotNull()})
+    return found.select(*left.columns, "nearest", "is_behind")
+
+
+def anchored_pairs(left: DataFrame, right: DataFrame, keys: list[str], order: str, anchor: str) -> DataFrame:
+    """(*keys, left, right): rows of two ordered tables by their orders: those with one anchor, its first on each side and in step with the anchors
+    before, and the rows between two anchors one by one where both sides have as many of them."""
+    first = lambda df, s: df.filter(F.col(anchor).isNotNull()).groupBy(*keys, anchor).agg(F.min(order).alias(s))
+    met = first(left, "left").join(first(right, "right"), [*keys, anchor])
+    ahead = F.max("right").over(W.partitionBy(*keys).orderBy("left").rowsBetween(W.unboundedPreceding, -1))
+    pairs = met.withColumn("__ahead", ahead).filter(F.col("__ahead").isNull() | (F.col("right") > F.col("__ahead"))).select(*keys, "left", "right")
+
+    def gaps(df: DataFrame, s: str) -> DataFrame:
+        marked = df.select(*keys, F.col(order).alias(s)).join(pairs.select(*keys, F.col(s), F.lit(1).alias("__a")), [*keys, s], "left")
+        gap = F.coalesce(F.sum("__a").over(W.partitionBy(*keys).orderBy(s).rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+        inside = marked.withColumn("gap", gap).filter("__a is null")
+        own = W.partitionBy(*keys, "gap")
+        return inside.withColumns({f"n_{s}": F.count("*").over(own), "nth": F.row_number().over(own.orderBy(s))}).select(*keys, "gap", "nth", s, f"n_{s}")
+
+    between = gaps(left, "left").join(gaps(right, "right"), [*keys, "gap", "nth"]).filter("n_left = n_right").select(*keys, "left", "right")
+    return pairs.unionByName(between)
+
+
+def words_in_common(a: DataFrame, b: DataFrame, keys: list[str], word: str) -> DataFrame:
+    """(*keys, common): how many words two tables share under a key, each as often as the rarer side has it; keys that share none have no row."""
+    counted = lambda df, n: df.groupBy(*keys, word).agg(F.count("*").alias(n))
+    both = counted(a, "__a").join(counted(b, "__b"), [*keys, word])
+    return both.groupBy(*keys).agg(F.sum(F.least("__a", "__b")).cast("long").alias("common"))
+
+
+def joined_by_flight(rows: DataFrame, extras: DataFrame, value: str) -> DataFrame:
+    """rows (date, duty) with the value that extras (date, flight, value) have for their date and flight, else for their date alone (flight empty)."""
+    exact = extras.filter("flight <> ''").groupBy("date", F.col("flight").alias("duty")).agg(F.min(value).alias("__exact"))
+    of_day = extras.filter("flight = ''").groupBy("date").agg(F.min(value).alias("__day"))
+    return rows.join(exact, ["date", "duty"], "left").join(of_day, "date", "left").withColumn(value, F.coalesce("__exact", "__day")).drop("__exact", "__day")
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A dimension that may be paired with itself or broadcast: more than ``most`` rows are refused."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a dimension of more than {most} rows is not paired with itself")
+    return F.broadcast(df)
+
+
+def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(*keys, value, n, upto, total): distinct values with their counts, rows up to and including them, and all rows of the key.
+
+    Sums run over the distinct values of a key in blocks of their order, so no key's rows come together in one row or window:
+    counts first, then each block's sum, then a window over a block with the sums of the blocks before.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    whole = counted.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("n").alias("total"))
+    span = (F.col("__hi") - F.col("__lo")).cast("double")
+    block = F.when(span > 0, F.floor((F.col(value) - F.col("__lo")).cast("double") / span * 4096)).otherwise(0).cast("int")
+    placed = counted.join(whole, keys).withColumn("__block", block)
+    sums = placed.groupBy(*keys, "__block").agg(F.sum("n").alias("__s"))
+    before = F.coalesce(F.sum("__s").over(W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offset = sums.withColumn("__before", before).drop("__s")
+    inside = F.sum("n").over(W.partitionBy(*keys, "__block").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    return placed.withColumn("__inside", inside).join(offset, [*keys, "__block"]).select(*keys, value, "n", (F.col("__before") + F.col("__inside")).alias("upto"), "total")

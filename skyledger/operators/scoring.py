@@ -242,10 +242,10 @@ def closest_stretch(pattern: str, text: str) -> tuple[int, int, int]:
 
 def ocr_cells(label: DataFrame, keys: list[str], section: str, order: str, fields: list[str] = CORE_FIELDS) -> DataFrame:
     """(*keys, place, order, field, want): the label's cells as they should be read, planned rows last; a day's date and weekday once."""
-    first = F.row_number().over(W.partitionBy(*keys, section, "date").orderBy(order)) == 1
+    numbered = label.withColumn("__first", F.row_number().over(W.partitionBy(*keys, section, "date").orderBy(order)) == 1)
     want = lambda f: F.upper(F.regexp_replace(text_of(F.col(f)), r"\s+", ""))
-    each = F.array(*[F.struct(F.lit(f).alias("field"), want(f).alias("want"), (first if f in ("date", "day") else F.lit(True)).alias("counts")) for f in fields])
-    return label.select(*keys, (F.col(section) == "planned").cast("int").alias("place"), order, F.inline(each)).filter("want <> '' and counts").drop("counts")
+    each = F.array(*[F.struct(F.lit(f).alias("field"), want(f).alias("want"), (F.col("__first") if f in ("date", "day") else F.lit(True)).alias("counts")) for f in fields])
+    return numbered.select(*keys, (F.col(section) == "planned").cast("int").alias("place"), order, F.inline(each)).filter("want <> '' and counts").drop("counts")
 
 
 def ocr_scores(lines: DataFrame, cells: DataFrame, key: str) -> DataFrame:

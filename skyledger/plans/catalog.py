@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import sun
-from ..operators import curation, layouts, metrics, relational, sequence
+from ..operators import accounts, curation, layouts, metrics, relational, scoring, sequence
 from ..sources import sinks
 from ..sources import text as T
 from ..streaming import usage
@@ -35,10 +32,6 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _long(*names: str) -> list:
-    return [F.col(n).cast("long").alias(n) for n in names]
-
-
 # ---- routes: edges, roll-ups, geography -------------------------------------------------
 
 
@@ -75,7 +68,7 @@ def route_months(spark, sf):
 @_query(f"WITH {_LEGS} SELECT DISTINCT dep AS code FROM legs WHERE dep NOT IN (SELECT n_name FROM nation WHERE n_regionkey < 3)")
 def unknown_nodes(spark, sf):
     known = _t(spark, sf, "nation").filter("n_regionkey < 3").select(F.col("n_name").alias("code"))
-    return _legs(spark, sf).select(F.col("dep").alias("code")).distinct().join(F.broadcast(known), "code", "left_anti")
+    return _legs(spark, sf).select(F.col("dep").alias("code")).distinct().join(known, "code", "left_anti")
 
 
 def _nodes(spark, sf):
@@ -91,14 +84,14 @@ _PAIR = "WITH n AS (SELECT n_name, CAST(n_nationkey * 7 % 140 - 70 AS DOUBLE) AS
 def haversine_km(spark, sf):
     a, b = (_nodes(spark, sf).withColumnsRenamed({"n_name": s, "lat": f"lat_{s}", "lon": f"lon_{s}"}) for s in "ab")
     km = S.haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(km, 3).alias("km"))
+    return a.join(relational.small(b), F.col("a") < F.col("b")).select("a", "b", F.round(km, 3).alias("km"))
 
 
 @_query(f"""{_PAIR} SELECT a.n_name AS a, b.n_name AS b, round(fmod(degrees(atan2(sin(radians(b.lon - a.lon)) * cos(radians(b.lat)), cos(radians(a.lat)) * sin(radians(b.lat)) - sin(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lon - a.lon)))) + 360, 360), 4) AS course
  FROM n a JOIN n b ON a.n_name < b.n_name""")
 def initial_course(spark, sf):
     a, b = (_nodes(spark, sf).withColumnsRenamed({"n_name": s, "lat": f"lat_{s}", "lon": f"lon_{s}"}) for s in "ab")
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(S.initial_course(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), 4).alias("course"))
+    return a.join(relational.small(b), F.col("a") < F.col("b")).select("a", "b", F.round(S.initial_course(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), 4).alias("course"))
 
 
 @_query()
@@ -111,8 +104,8 @@ def route_geojson(spark, sf):
     directions = F.transform("dirs", lambda x: F.concat_ws("-", x["dep"], x["arr"])).alias("directions")
     said = F.struct("a", "b", "n", F.lit("#4a90e2").alias("color"), F.round(S.haversine_km(*ends), 1).alias("distanceKm"), directions)
     feature = lambda kind, at, properties: F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), at.alias("coordinates")).alias("geometry"), properties.alias("properties")))
-    lines = routes.join(F.broadcast(a), "a").join(F.broadcast(b), "b").select("a", "b", feature("LineString", line, said).alias("feature"))
-    used = routes.select(F.explode(F.array("a", "b")).alias("n_name")).distinct().join(F.broadcast(_nodes(spark, sf)), "n_name")
+    lines = routes.join(a, "a").join(b, "b").select("a", "b", feature("LineString", line, said).alias("feature"))
+    used = routes.select(F.explode(F.array("a", "b")).alias("n_name")).distinct().join(_nodes(spark, sf), "n_name")
     node = F.struct(F.col("n_name").alias("code"), "lat", "lon")
     points = used.select(F.col("n_name").alias("a"), F.lit(None).cast("string").alias("b"), feature("Point", F.array("lon", "lat"), node).alias("feature"))
     return lines.union(points)
@@ -191,48 +184,41 @@ def testset_hash_mod(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", (F.conv(F.substring(F.md5("text"), 1, 2), 16, 10).cast("long") % 4 == 0).alias("in_test"))
 
 
-@_query("""WITH c AS (SELECT lang, source, unnest(string_split(substr(text, 1, length(text)), ' ')) AS cell FROM documents), f AS (SELECT cell, count(*) AS f FROM c GROUP BY cell),
+@_query("""WITH c0 AS (SELECT lang, source, unnest(string_split(text, ' ')) AS cell FROM documents), c AS (SELECT * FROM c0 WHERE cell <> ''), f AS (SELECT cell, count(*) AS f FROM c GROUP BY cell),
  s AS (SELECT lang, source, round(avg(ln(1 + f)), 6) AS score FROM c JOIN f USING (cell) GROUP BY ALL) SELECT lang, source, score FROM s QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, source) = 1""")
 def canonical_copy(spark, sf):
     cells = _t(spark, sf, "documents").select("lang", "source", F.explode(F.split("text", " ")).alias("cell"))
     return curation.canonical_copies(cells, "lang", "source", "cell").select("lang", "source", "score")
 
 
-_LINES = """l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), i AS (SELECT * FROM l WHERE length(line) >= 20), s AS (SELECT doc_id, count(*) AS n FROM i GROUP BY 1),
- p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM i x JOIN i y ON x.line = y.line AND x.doc_id < y.doc_id GROUP BY 1, 2),
- q AS (SELECT a, b, common, common / least(u.n, v.n) AS share FROM p JOIN s u ON u.doc_id = a JOIN s v ON v.doc_id = b WHERE common / least(u.n, v.n) >= 0.5)"""
+_LINES = """l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), g AS (SELECT doc_id, list_sort(list(line)) AS items FROM l GROUP BY 1),
+ c AS (SELECT items, min(doc_id) AS r, list(doc_id) AS members FROM g GROUP BY 1), m AS (SELECT unnest(members) AS doc_id, r FROM c), i AS (SELECT r, unnest(items) AS line, len(items) AS n FROM c),
+ p AS (SELECT x.r AS a, y.r AS b, count(*) AS common, any_value(least(x.n, y.n)) AS n FROM i x JOIN i y ON x.line = y.line AND x.r < y.r GROUP BY 1, 2), q AS (SELECT a, b, common, common / n AS share FROM p WHERE common / n >= 0.5)"""
 
 
-def _line_items(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line") >= 20)
+def _line_sets(spark, sf):
+    lines = _t(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return relational.item_sets(lines, "doc_id", "line")
 
 
-@_query(f"WITH {_LINES} SELECT * FROM q")
+@_query(f"WITH {_LINES} SELECT a, b, common, share FROM q")
 def near_dup_pairs(spark, sf):
-    return relational.near_pairs(_line_items(spark, sf), "doc_id", "line")
-
-
-@_query(f"WITH RECURSIVE {_LINES}, e AS (SELECT a, b FROM q UNION SELECT b, a FROM q), r AS (SELECT doc_id AS node, doc_id AS c FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON r.c = e.a) SELECT node, min(c) AS cluster FROM r GROUP BY node")
-def near_dup_clusters(spark, sf):
-    return curation.clusters(_t(spark, sf, "documents").select(F.col("doc_id").alias("node")), near_dup_pairs(spark, sf))
+    """Pairs of documents that stand for all with the same lines (near_dup_members) and share half of the smaller one's."""
+    return relational.set_pairs(_line_sets(spark, sf))
 
 
-def _lines(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+@_query(f"WITH {_LINES} SELECT doc_id, r AS same_lines_as FROM m")
+def near_dup_members(spark, sf):
+    return relational.set_members(_line_sets(spark, sf)).select(F.col("g").alias("doc_id"), F.col("r").alias("same_lines_as"))
 
 
-@_query()
-def near_dup_pairs_whole(spark, sf):
-    """near_dup_pairs over every distinct line, the short ones too."""
-    return relational.near_pairs_whole(_lines(spark, sf), "doc_id", "line")
-
-
-@_query()
-def near_dup_clusters_whole(spark, sf):
-    """near_dup_clusters over every distinct line; equal documents go through the rounds as one."""
-    sets = relational.item_sets(_lines(spark, sf), "doc_id", "line")
+@_query(f"""WITH RECURSIVE {_LINES}, e AS (SELECT a, b FROM q UNION SELECT b, a FROM q), t AS (SELECT r AS node, r AS c FROM c UNION SELECT t.node, e.b FROM t JOIN e ON t.c = e.a),
+ k AS (SELECT node, min(c) AS cluster FROM t GROUP BY node) SELECT documents.doc_id AS node, coalesce(cluster, documents.doc_id) AS cluster FROM documents LEFT JOIN m USING (doc_id) LEFT JOIN k ON k.node = m.r""")
+def near_dup_clusters(spark, sf):
+    """Clusters of documents over near_dup_pairs; documents of the same lines go through the rounds as one."""
+    sets = _line_sets(spark, sf)
     found = curation.clusters(sets.select(F.col("r").alias("node")), relational.set_pairs(sets)).withColumnRenamed("node", "r")
-    of = sets.select("r", F.explode("members").alias("node")).join(found, "r").select("node", "cluster")
+    of = relational.set_members(sets).withColumnRenamed("g", "node").join(found, "r").select("node", "cluster")
     return _t(spark, sf, "documents").select(F.col("doc_id").alias("node")).join(of, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 
 
@@ -274,10 +260,21 @@ def field_accuracy(spark, sf):
     return metrics.field_accuracy(_pairs(spark, sf), ["status", "priority"], [])
 
 
-@_query(f"""WITH {_PAIRS}, k AS (SELECT field, CASE WHEN p = e THEN 'match' WHEN p = '' THEN 'missing' WHEN levenshtein(p, e) <= 2 THEN 'close' ELSE 'different' END AS kind FROM p)
- SELECT field, kind, count(*) AS n, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, kind) AS rank FROM k GROUP BY field, kind QUALIFY rank <= 3""")
+_READ = """r AS (SELECT 'duty' AS field, CASE WHEN o_orderkey % 7 = 0 THEN 'SBY' || o_orderpriority WHEN o_orderkey % 7 = 1 THEN '' WHEN o_orderkey % 7 = 2 THEN lower(o_orderpriority) ELSE o_orderpriority END AS p, o_orderpriority AS e FROM orders
+ UNION ALL SELECT 'dep', CASE WHEN o_orderkey % 11 = 0 THEN o_orderstatus || 'XY' WHEN o_orderkey % 11 = 1 THEN '' WHEN o_orderkey % 11 = 2 THEN 'XX' ELSE o_orderstatus END, CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE o_orderstatus END FROM orders)"""
+
+
+@_query(f"""WITH {_READ}, k AS (SELECT field, CASE WHEN p = e THEN NULL WHEN e = '' THEN 'missing_expected' WHEN p = '' THEN 'missing_extracted' WHEN field = 'dep' THEN CASE WHEN length(p) <> 3 THEN 'format_mismatch' ELSE 'value_mismatch' END
+ WHEN NOT regexp_matches(p, '^(OFF|SBY|RST|FR|DH|A/L|F/D|SIM|TRG|C[0-9]|IDP)') AND length(e) > 2 THEN 'pattern_mismatch' ELSE 'value_mismatch' END AS kind FROM r)
+ SELECT field, kind, count(*) AS n, CAST(floor(100 * count(*) / sum(count(*)) OVER (PARTITION BY field) + 0.5) AS BIGINT) AS share, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, kind) AS rank
+ FROM k WHERE kind IS NOT NULL GROUP BY field, kind QUALIFY rank <= 3""")
 def error_top3(spark, sf):
-    return relational.top_per_group(metrics.error_kinds(_pairs(spark, sf), ["status", "priority"]), ["field"], 3, F.desc("n"), "kind")
+    o, key = _t(spark, sf, "orders"), F.col("o_orderkey")
+    duty = F.when(key % 7 == 0, F.concat(F.lit("SBY"), "o_orderpriority")).when(key % 7 == 1, "").when(key % 7 == 2, F.lower("o_orderpriority")).otherwise(F.col("o_orderpriority"))
+    dep = F.when(key % 11 == 0, F.concat("o_orderstatus", F.lit("XY"))).when(key % 11 == 1, "").when(key % 11 == 2, "XX").otherwise(F.col("o_orderstatus"))
+    cells = {"p_duty": duty, "e_duty": F.col("o_orderpriority"), "p_dep": dep, "e_dep": F.when(key % 13 == 0, "").otherwise(F.col("o_orderstatus"))}
+    pairs = o.select(F.lit(True).alias("in_read"), F.lit(True).alias("in_label"), *[c.alias(n) for n, c in cells.items()])
+    return scoring.error_ranking(pairs, ["duty", "dep"])
 
 
 @_query("SELECT event_type, CAST(user_id AS VARCHAR) AS kind, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, user_id % 3 AS user_id, value FROM events) GROUP BY GROUPING SETS ((), (event_type), (user_id))")
@@ -314,8 +311,9 @@ def median_upper(spark, sf):
 
 @_query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS top, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
 def percentiles(spark, sf):
-    q = lambda p, n: F.round(F.percentile("value", p), 6).alias(n)
-    return _t(spark, sf, "events").groupBy("event_type").agg(q(0.5, "p50"), q(0.95, "p95"), F.max("value").alias("top"), F.round(F.avg("value"), 6).alias("mean"))
+    found = metrics.quantiles(_t(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+    return found.select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "top", F.round("mean", 6).alias("mean"))
+
 
 
 @_query()
@@ -383,12 +381,14 @@ def quota_spend(spark, sf):
 # ---- billing and usage ------------------------------------------------------------------
 
 
-@_query("""SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS currency, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus <> 'F' THEN CAST(o_totalprice AS DECIMAL(14,2)) END) AS DOUBLE) AS paid,
- CAST(sum(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(14,2)) END) AS DOUBLE) AS refunded FROM orders GROUP BY 1, 2""")
+@_query("""SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS currency, count(*) AS count, CAST(coalesce(sum(CASE WHEN o_orderstatus <> 'F' THEN CAST(o_totalprice AS DECIMAL(14,2)) END), 0) AS DOUBLE) AS paid,
+ CAST(coalesce(sum(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(14,2)) END), 0) AS DOUBLE) AS refunded, CAST(coalesce(sum(CASE WHEN o_orderstatus <> 'F' THEN CAST(o_totalprice - 1 AS DECIMAL(14,2)) END), 0) AS DOUBLE) AS net FROM orders GROUP BY 1, 2""")
 def month_summary(spark, sf):
-    money = F.col("o_totalprice").cast("decimal(14,2)")
-    total = lambda c, n: F.sum(F.when(c, money)).cast("double").alias(n)
-    return _t(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderpriority").alias("currency")).agg(F.count("*").alias("n"), total(F.col("o_orderstatus") != "F", "paid"), total(F.col("o_orderstatus") == "F", "refunded"))
+    o = _t(spark, sf, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "refunded").otherwise("paid")
+    invoices = o.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("paid_at"), F.col("o_orderpriority").alias("currency"), status.alias("status"), F.col("o_totalprice").alias("amount"), (F.col("o_totalprice") - 1).alias("net"))
+    return accounts.month_summary(invoices).select("month", "currency", "count", *[F.col(c).cast("double").alias(c) for c in ("paid", "refunded", "net")])
+
 
 
 @_query("SELECT count(*) FILTER (o_orderstatus = 'O') AS active, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice / CASE WHEN o_orderpriority LIKE '1%' THEN 12 ELSE 1 END END), 2) AS mrr FROM orders")
@@ -415,8 +415,9 @@ def plan_until(spark, sf):
 
 @_query("SELECT o_orderkey, 'RP-' || strftime(o_orderdate, '%Y') || '-' || lpad(CAST(row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey) AS VARCHAR), 6, '0') AS number FROM orders")
 def invoice_numbers(spark, sf):
-    nth = F.row_number().over(W.partitionBy(F.year("o_orderdate")).orderBy("o_orderdate", "o_orderkey"))
-    return _t(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("RP-"), F.year("o_orderdate").cast("string"), F.lit("-"), F.lpad(nth.cast("string"), 6, "0")).alias("number"))
+    numbered = accounts.gapless_numbers(_t(spark, sf, "orders").select("o_orderkey", "o_orderdate"), F.year("o_orderdate"), F.to_date("o_orderdate"), ["o_orderdate", "o_orderkey"])
+    return numbered.select("o_orderkey", F.concat(F.lit("RP-"), F.year("o_orderdate").cast("string"), F.lit("-"), F.lpad(F.col("n").cast("string"), 6, "0")).alias("number"))
+
 
 
 @_query("SELECT s.status, count(o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) s(status) LEFT JOIN orders ON o_orderstatus = s.status GROUP BY 1")
@@ -444,14 +445,8 @@ def html_tokens(spark, sf):
     return _t(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<[a-zA-Z]+"), F.lit(0))).cast("long").alias("tags"))
 
 
-@_query("SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(p_brand, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', '9', 'g') AS shape FROM (SELECT p_partkey, substr(p_brand, 1, 1) || right(p_brand, 1) AS p_brand FROM part)")
+@_query("""SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p_brand, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', '9', 'g'), 'X{3,}', 'XX', 'g'), 'x{3,}', 'xx', 'g'), '9{3,}', '99', 'g') AS shape FROM part""")
 def word_shape(spark, sf):
-    return _t(spark, sf, "part").select("p_partkey", S.shape(F.concat(F.substring("p_brand", 1, 1), F.expr("right(p_brand, 1)"))).alias("shape"))
-
-
-@_query()
-def word_shape_whole(spark, sf):
-    """word_shape of the whole brand; no SQL, DuckDB's patterns have no back-reference."""
     return _t(spark, sf, "part").select("p_partkey", S.shape(F.col("p_brand")).alias("shape"))
 
 
@@ -466,12 +461,11 @@ def stream_daily_usage(spark, sf):
     """The daily counters as a stream over the folder's file, run to its end."""
     schema = _t(spark, sf, "events").schema
     calls = usage.replayed(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyledger-")).rstrip("/")
-    name = f"usage_{uuid.uuid4().hex}"
-    found = usage.drained(usage.tumbling_usage(calls, "ts", "user_id"), name, f"{folder}/{name}")
+    found = usage.drained(usage.tumbling_usage(calls, "ts", "user_id"), ["start", "user_id"])
     return found.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "user_id", "requests")
 
 
+
 # ---- loose text, calendars, layouts, night ----------------------------------------------
 
 
@@ -482,10 +476,13 @@ def content_kinds(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", T.content_kind(raw).alias("kind"), F.size(T.lines_of(T.decoded(raw))).cast("long").alias("lines"))
 
 
-@_query("""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line FROM documents WHERE NOT contains(text, chr(9)))
- SELECT doc_id, count(*) FILTER (trim(line) <> '') AS rows, CAST(sum(len(regexp_extract_all(line, '\\S+(?: \\S+)*'))) AS BIGINT) AS cells FROM l GROUP BY doc_id""")
+@_query("""WITH l AS (SELECT doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS ls FROM documents WHERE text IS NOT NULL),
+ k AS (SELECT doc_id, ls, len(list_filter(ls, lambda x: contains(x, chr(9)))) AS tabbed, len(list_filter(ls, lambda x: trim(x) <> '')) AS filled FROM l), r AS (SELECT doc_id, unnest(ls) AS line, filled > 0 AND tabbed >= filled / 2 AS by_tab FROM k),
+ c AS (SELECT doc_id, CASE WHEN by_tab THEN list_transform(string_split(line, chr(9)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')))
+  ELSE regexp_extract_all(list_reduce(string_split(line, chr(9)), lambda s, p: s || repeat(' ', 8 - length(s) % 8) || p), '\\S+(?: \\S+)*') END AS cells FROM r), f AS (SELECT doc_id, len(cells) AS n, len(list_filter(cells, lambda x: x <> '')) > 0 AS hit FROM c)
+ SELECT doc_id, count(*) FILTER (hit) AS rows, CAST(coalesce(sum(n) FILTER (hit), 0) AS BIGINT) AS cells FROM f GROUP BY doc_id""")
 def fixed_width_grid(spark, sf):
-    """Rows and cells of each text's grid, by tabs or by columns; the SQL leaves out texts that hold a tab."""
+    """Rows and cells of each text's grid, by tabs or by columns."""
     cut = _t(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.filter(T.grid(F.col("text")), lambda r: F.exists(r, lambda c: c != "")).alias("g"))
     size = F.aggregate("g", F.lit(0), lambda s, r: s + F.size(r)).cast("long")
     return cut.select("doc_id", F.size("g").cast("long").alias("rows"), size.alias("cells"))
@@ -560,7 +557,7 @@ def airborne_times(spark, sf):
 def night_segments(spark, sf):
     """Night of a flight between every two nations at 800 km/h from noon UTC; trigonometry to the second, so tested on fixtures."""
     a, b = (_nodes(spark, sf).withColumnsRenamed({"n_name": s, "lat": f"lat_{s}", "lon": f"lon_{s}"}) for s in "ab")
-    flights = a.join(F.broadcast(b), F.col("a") < F.col("b"))
+    flights = a.join(relational.small(b), F.col("a") < F.col("b"))
     place = [F.col(c) for c in ("lat_a", "lon_a", "lat_b", "lon_b")]
     timed = flights.withColumn("start", F.lit(1718452800).cast("long")).withColumn("stop", F.col("start") + 60 + F.floor(S.haversine_km(*place) * 4.5))
     found = timed.withColumn("n", sun.night_edges(*place, F.col("start"), F.col("stop")))
@@ -582,9 +579,15 @@ def layout_rows(spark, sf):
     return layouts.schedule_rows(heads.unionByName(body)).select(F.col("file").alias("l_orderkey"), F.col("line").alias("l_linenumber"), "layout", "date", "day", "crew", "info", "begin", "end")
 
 
+def _all() -> None:
+    from . import more  # noqa: F401  (registers its queries here)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)

@@ -1,12 +1,20 @@
 """Loose text, calendars, layouts and night time on small fixtures."""
 
 import datetime
+import hashlib
+import json
+import random
+import zipfile
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from skyledger.functions import sun
-from skyledger.operators import layouts
-from skyledger.sources import sinks, text
+from skyledger.sources import records, sinks, text, workbooks
+
+
+def epoch(*t):
+    return int(datetime.datetime(*t, tzinfo=datetime.UTC).timestamp())
 
 
 def one(spark, value, *args):
@@ -46,55 +54,16 @@ def test_calendars(spark):
     assert (a.summary, a.tzid, a.start, a.end, a.all_day) == ("A, b c", "Europe/Vienna", moment(2025, 1, 7, 2), moment(2025, 1, 7, 3, 30), False)
     assert (b.start, b.end, b.all_day) == (moment(2025, 2, 28), moment(2025, 3, 1), True)
     assert [one(spark, text.duration_minutes_iso, d) for d in ("P1DT2H30M", "-PT15M", "P2W", "x")] == [1590, -15, 20160, None]
+    rest = "\r\n".join(["BEGIN:VCALENDAR", "X-WR-CALNAME:Mine\\, all", "BEGIN:VEVENT", "DTSTART:20250301T1000Z", r"SUMMARY:C:\\new\, a\nb", "CATEGORIES:One,Two\\, three", "RELATED-TO;RELTYPE=CHILD:x", "END:VEVENT", "BEGIN:VEVENT", "DTSTART:20250302", "RELATED-TO:y", "END:VEVENT", "END:VCALENDAR"])
+    c, d = text.calendar_events(spark.createDataFrame([(rest,)], "t string"), "t").orderBy("nth").collect()
+    assert (c.summary, c.categories, c.parent, c.utc) == ("C:\\new, a\nb", ["One", "Two", "three"], "", True) and (d.summary, d.parent, d.all_day) == ("(no title)", "y", True)
+    assert [r.name for r in text.calendar_names(spark.createDataFrame([(rest,), (doc,)], "t string"), "t").collect()] == ["Mine, all", ""]
     line = "SUMMARY:" + "ü" * 60
     cut = one(spark, sinks.folded, line)
     assert cut.replace("\r\n ", "") == line and all(len(p.encode()) <= 75 for p in cut.split("\r\n"))
 
 
-def test_layouts(spark):
-    grid = [
-        ("x", 0, ["Pilot log", ""]), ("x", 1, ["Date", "Aircraft ID", "Aircraft Type", "Out", "In", "PIC/P1 Crew", "SIC/P2 Crew", "Total Time", "Remarks", "Flight #", "From", "To", "Total Pax"]),
-        ("x", 2, ["5/28/2026", "N1", "B38M", "23:10", "0:30", "Lonsdale, D", "", "1.20", "late", "12", "SEA", "PDX", "126"]), ("x", 3, ["5/3/2026", "N1", "", "601", "", "", "", "", "", "", "PDX", "SEA", ""]),
-        ("x", 4, ["Total", "", "", "", "", "", "", "", "", "", "", "", ""]),
-        ("y", 0, ["Actual Out", "Actual In", "Orig", "Dest", "Crew Count", "Block Time"]), ("y", 1, ["01/02/2022 22:21", "02/02/2022 01:00", "DFW", "LAX", "DHD", "2+39"]),
-        ("z", 0, ["no", "layout"]), ("z", 1, None),
-    ]
-    rows = layouts.schedule_rows(spark.createDataFrame(grid, "file string, line int, cells array<string>")).orderBy("file", "line").collect()
-    assert [(r.file, r.line, r.layout) for r in rows] == [("x", 2, "aircraft-id-logbook"), ("x", 3, "aircraft-id-logbook"), ("y", 1, "block-time-report")]
-    a, b, c = rows
-    assert (a.date, a.day, a.duty, a.begin, a.end, a.crew, a.info) == ("28 May 26", "Thu", "12", "23:10 Z", "00:30 Z +1", "[PIC - Lonsdale, D]", "[Total Time: 1.20] [Pax: 126] late")
-    assert (b.date, b.begin, b.end, b.crew, b.info) == ("3 May 26", "06:01 Z", "", "", "")
-    assert (c.date, c.dc, c.begin, c.end, c.info) == ("1 Feb 22", "DH", "22:21 Z", "01:00 Z +1", "[Block: 02:39]")
-    assert layouts.schedule_rows(spark.createDataFrame([], "file string, line int, cells array<string>")).count() == 0
-
-
-def test_more_layouts(spark):
-    def read(header, *cells):
-        grid = [("x", 0, header), *[("x", i + 1, row) for i, row in enumerate(cells)]]
-        return layouts.schedule_rows(spark.createDataFrame(grid, "file string, line int, cells array<string>")).orderBy("line").collect()
-
-    (a,) = read(["Flight Date", "A/C Type", "Flt No", "A/C Reg", "From", "To", "ATD", "ATA", "Block", "Stick", "Take off", "Landing", "SDC", "Crew Name"], ["10-DEC-2024", "A380", "414", "A6", "DXB", "SYD", "22:01", "10:25", "12:24", "", "Y", "", "M", "Ann B(12-CA),Carl D(34-FO)"])
-    assert (a.layout, a.date, a.begin, a.end, a.crew, a.info) == ("flight-time-report", "10 Dec 24", "22:01 Z", "10:25 Z +1", "[CA - 12 - Ann B][FO - 34 - Carl D]", "[Block: 12:24] [Takeoff Day/Night: 1] [SDC: M]")
-    (b,) = read(["Crew", "Blocks Off Actual", "AF_DEP", "To Airport", "Blocks On Actual", "TIME_TOTAL", "Landings Night", "Night Time"], ["Ann B, Carl D", "06.07.2024 23:05", "LFPB", "EGGW", "07.07.2024 00:10", "1h05", "1", "48'"])
-    assert (b.layout, b.date, b.dep, b.arr, b.begin, b.end, b.crew, b.info) == ("blocks-logbook", "6 Jul 24", "LFPB", "EGGW", "23:05 Z", "00:10 Z +1", "[Crew - Ann B][Crew - Carl D]", "[Block: 01:05] [Landing Night: 1] [Night: 00:48]")
-    stamps = [f"ACTUAL_{a}_{b}_{c}" for c in ("GMT", "LOCAL") for a in ("START", "END") for b in ("DATE", "TIME")]
-    c, d = read(["DUTY_CD", "PRNG_NUM", "FLT_NUM", "DEPARURE_PORT", "ARRIVAL_PORT", "FLEET_CD", "TAIL_NUM", *stamps], ["FLY", "87", "12", "JED", "RUH", "77W", "-", "17-AUG-17", "21:30", "17-AUG-17", "23:00", "18-AUG-17", "00:30", "18-AUG-17", "02:00"], ["RST", "", "0", "JED", "JED", "-", "-", "18-AUG-17", "12:00", "18-AUG-17", "13:00", "", "", "", ""])
-    assert (c.layout, c.duty, c.begin, c.end, c.ac, c.registration, c.info) == ("gmt-duties", "12", "21:30 Z / 00:30 L +1", "23:00 Z / 02:00 L +1", "77W", "", "[Pairing: 87]")
-    assert (d.duty, d.dep, d.arr, d.begin, d.end) == ("RST", "JED", "", "12:00 Z", "13:00 Z")
-    (e,) = read(["Datum", "Lfz.", "Startort", "Landeort", "Off-Block", "Start", "Landung", "On-Block", "Blockzeit in hh:mm", "Landungen", "Pilot", "Flugzeit"], ["01.09.22", "D-E", "Goch-Asperden EDLG", "EDLN", "9:00", "9:05", "9:45", "9:50", "0:50", "1", "Ann", "40"])
-    assert (e.layout, e.date, e.dep, e.arr, e.begin, e.takeoff, e.landing, e.end, e.crew, e.info) == ("german-logbook", "1 Sep 22", "EDLG", "EDLN", "09:00 Z", "09:05 Z", "09:45 Z", "09:50 Z", "[Pilot - Ann]", "[Block: 00:50] [Flight: 00:40] [Landing Day/Night: 1]")
-    f, g = read(["DATE", "Flight", "dhd", "From", "Depart", "To", "Arrive", "Block", "Tail_Number", "A_C_Type", "CoPilot", "TakeOff"], ["2022-02-05", "W5", "DH", "DAL", "2311", "HOU", "024", "113", "N1", "73H", "FO ANN B *INTL* [12]", "1"], ["2022-02-06", "W6", "", "HOU", "913", "DAL", "10:46", "", "", "", "Deadheading", ""])
-    assert (f.layout, f.dc, f.begin, f.end, f.crew, f.info) == ("dhd-flights", "DH", "23:11 L", "00:24 L +1", "[FO - 12 - ANN B]", "[Block: 01:13] [Takeoff Day/Night: 1]")
-    assert (g.dc, g.begin, g.end, g.crew, g.info) == ("", "09:13 L", "10:46 L", "", "")
-    heads = [(f"f{i}", 0, [h if isinstance(h, str) else h[0] for h in s.headers]) for i, s in enumerate(layouts.LAYOUTS)]  # more layouts than one branch takes
-    names = [s.name for s in layouts.LAYOUTS]
-    legs = [(f"f{names.index('duty-report')}", 1, ["FLY", "7", "VIE", "PRN", "01Dec21", "6:35"]), (f"f{names.index('dhd-flights')}", 1, ["2022-02-05", "W5", "", "DAL", "900", "HOU", "950", "50"])]
-    mixed = layouts.schedule_rows(spark.createDataFrame(heads + legs, "file string, line int, cells array<string>")).orderBy("layout").collect()
-    assert [(r.layout, r.dep, r.begin) for r in mixed] == [("dhd-flights", "DAL", "09:00 L"), ("duty-report", "VIE", "06:35 Z")]
-
-
 def test_night(spark):
-    epoch = lambda *t: int(datetime.datetime(*t, tzinfo=datetime.UTC).timestamp())
     vie, prn = (48.1103, 16.5697), (42.5728, 21.0358)
 
     def night(a, b, start, stop, **rule):
@@ -114,3 +83,80 @@ def test_night(spark):
 def test_route_lists(spark):
     frame = spark.createDataFrame([("Jan|#4a90e2|AUH-GYD*3,gyd-auh,AUH-AUH,bad",), ("none",), (None,)], "t string")
     assert sorted((r["name"], r.dep, r.arr, r.n) for r in text.routes_of(frame, "t").collect()) == [("Jan", "AUH", "GYD", 3), ("Jan", "GYD", "AUH", 1)]
+
+
+def test_backslashes_survive_a_calendar(spark):
+    texts = ["a\\b", "\\n is no line end", "one\ntwo", "x; y, z\\", "\\\;", ""]
+    rows = [(i, f"u{i}", datetime.datetime(2025, 1, 1), datetime.datetime(2025, 1, 2), True, True, "s", "", t, "event", False) for i, t in enumerate(texts)]
+    events = spark.createDataFrame(rows, "n int, uid string, start timestamp_ntz, end timestamp_ntz, all_day boolean, utc boolean, summary string, location string, description string, kind string, tentative boolean").withColumn("k", F.lit(1))
+    back = text.calendar_events(sinks.calendar_texts(events, "k", "n", name="A, b"), "calendar")
+    assert [r.description for r in back.orderBy("nth").collect()] == texts
+
+
+def test_exports(spark):
+    invoices = spark.createDataFrame([("RP-2", "2025-07-02", 'x "y", z'), ("RP-1", "2025-07-01", "plain"), ("RP-0", "2025-06-30", None)], "number string, paidAt string, note string")
+    assert "".join(r.line for r in sinks.invoice_file(invoices, ["number", "paidAt", "note"], "2025-07").collect()) == '\ufeffnumber,paidAt,note\r\nRP-1,2025-07-01,plain\r\nRP-2,2025-07-02,"x ""y"", z"\r\n'
+    grid = spark.createDataFrame([("s", 0, ["a", "<b>"]), ("s", 1, ["c"])], "k string, line int, cells array<string>")
+    assert sinks.html_tables(grid, "k", "line", "cells").first().html == '<table><tr><td class="n">1</td><td>a</td><td>&lt;b&gt;</td></tr><tr><td class="n">2</td><td>c</td><td></td></tr></table>'
+    packed = json.loads(sinks.compact_table(spark.createDataFrame([("b", 1.5, None), ("a", None, True)], "id string, lat double, on boolean"), "id", "made").first().json)
+    assert packed == {"source": "made", "fields": ["id", "lat", "on"], "rows": [["a", None, True], ["b", 1.5, None]]}
+    features = spark.createDataFrame([("b", '{"n":2}'), ("a", '{"n":1}')], "k string, f string")
+    assert json.loads(sinks.feature_collection(features, "f", "k").first().geojson) == {"type": "FeatureCollection", "features": [{"n": 1}, {"n": 2}]}
+
+
+def test_stores(spark, tmp_path):
+    store = spark.createDataFrame([("a", 1), ("b", None), ("c", 3)], "name string, n int")
+    left = sinks.moved_to_trash(store, F.col("n") > 2, F.lit("2025-01-01"), str(tmp_path / "trash"))
+    assert sorted(r.name for r in left.collect()) == ["a", "b"] and [(r.name, str(r.trashed)) for r in spark.read.parquet(str(tmp_path / "trash")).collect()] == [("c", "2025-01-01")]
+    sinks.recorded_runs(spark.createDataFrame([("1", "pdf", False), ("2", "pdf", True), ("3", "image", None)], "id string, kind string, stopped boolean"), str(tmp_path / "runs"))
+    assert sorted((r.id, r.kind) for r in spark.read.parquet(str(tmp_path / "runs")).collect()) == [("1", "pdf"), ("3", "image")]
+    sinks.text_pairs(spark.createDataFrame([("train", "x.png", "a b")], "split string, image string, truth string"), str(tmp_path / "pairs"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "pairs" / "split=train")).collect()] == ["x.png\ta b"]
+    (tmp_path / "files").mkdir()
+    for name in ("a.PDF", "b.jpg", "c.exe"):
+        (tmp_path / "files" / name).write_bytes(name.encode())
+    index = records.object_index(spark, str(tmp_path / "files"))
+    assert [r.name for r in records.listed(index).collect()] == ["a.PDF", "b.jpg"] and [r.name for r in records.listed(index, "image").collect()] == ["b.jpg"]
+    assert {r.name: r.md5 for r in index.collect()}["b.jpg"] == hashlib.md5(b"b.jpg").hexdigest()
+    states = records.label_states(index, spark.createDataFrame([("a.PDF", None), ("b.jpg", "open")], "name string, review string"))
+    assert {r.name: (r.labelled, r.reviewed) for r in states.collect()} == {"a.PDF": (True, True), "b.jpg": (True, False)}
+    saved = records.saved_label(spark.createDataFrame([("f", " VIE ", "x")], "file string, dep string, other string"), ["file"], ["dep", "arr"])
+    assert saved.collect() == [("f", "VIE", "")]
+    assert [r.code for r in records.known_duties(spark.createDataFrame([(["SBY", "CHECK-IN", "OFF(Z)", "SBY", ""],)], "codes array<string>"), "codes").collect()] == ["OFF(Z)", "SBY"]
+
+
+def workbook(path, rows):
+    """A workbook of one sheet, cells as (type, style, value)."""
+    style = '<styleSheet><numFmts><numFmt numFmtId="200" formatCode="d/m/yy\\ h:mm;@"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="20"/><xf numFmtId="200"/></cellXfs></styleSheet>'
+    kinds = {"s": '<c t="s"><v>{}</v></c>', "i": '<c t="inlineStr"><is><t>{}</t></is></c>', "b": '<c t="b"><v>{}</v></c>'}
+    cell = lambda c: "<c/>" if c is None else kinds[c[0]].format(c[1]) if c[0] in kinds else f'<c s="{c[0]}"><v>{c[1]}</v></c>'
+    sheet = "<worksheet><sheetData>" + "".join(f'<row r="{i + 1}">{"".join(map(cell, r))}</row>' for i, r in enumerate(rows)) + "</sheetData></worksheet>"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns:r="urn:r"><sheets><sheet name="One" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", "<sst><si><t>Date</t></si><si><r><t>two </t></r><r><t>runs</t></r></si></sst>")
+        z.writestr("xl/styles.xml", style)
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+
+
+def test_workbooks(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx", [[("s", 0), ("s", 1), ("i", " x \n y ")], [("1", 45658), ("2", 0.40277), ("3", 45658.999)], [("0", 7), ("0", 1.5), ("b", 1), None], [None]])
+    (tmp_path / "b.xlsx").write_bytes(b"PK\x03\x04 damaged")
+    (tmp_path / "c.csv").write_text("a,b")
+    rows = workbooks.read_workbooks(spark, str(tmp_path)).orderBy("line").collect()
+    assert [(r.sheet, r.line, r.cells) for r in rows] == [("One", 0, ["Date", "two runs", "x\ny"]), ("One", 1, ["01/01/2025", "09:40", "01/01/2025 23:59"]), ("One", 2, ["7", "1.5", "TRUE"])]
+
+
+def test_night_polygons():
+    for when in (epoch(2025, 3, 20, 9), epoch(2025, 6, 21, 12), epoch(2025, 12, 21, 3)):
+        lat, lon = sun.subsolar_point(np.float64(when), np)
+        assert abs(sun.sun_altitude(when, lat, lon, np) - 90) < 0.3
+        ring, rng = sun.night_polygon(when, -6.0), random.Random(4)
+        for _ in range(300):
+            y, x = rng.uniform(-85, 85), rng.uniform(-180, 180)
+            altitude = sun.sun_altitude(when, y, x, np)
+            assert abs(altitude + 6) < 1.0 or sun.inside_ring(ring, x, y) == (altitude < -6)
+    band = sun.fixed_night_band(epoch(2025, 1, 1, 12), 360, 1080)
+    assert (min(x for x, _ in band), max(x for x, _ in band)) == (90.0, 270.0) and sun.inside_ring(band, 180.0, 0.0) and not sun.inside_ring(band, 0.0, 0.0)
+    there = sun.destination(0.0, 0.0, 90.0, 10.0, np)
+    assert abs(there[0]) < 1e-9 and abs(there[1] - 10) < 1e-9
