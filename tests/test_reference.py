@@ -5,6 +5,7 @@ import random
 import re
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def values(frame):
     rows = frame[sorted(frame.columns)].itertuples(index=False)
-    return sorted(tuple("" if x is None or x != x else f"{x:.6g}" if isinstance(x, float) else str(list(x)) if hasattr(x, "__len__") and not isinstance(x, str) else str(x) for x in r) for r in rows)
+    return sorted(tuple("" if x is None or x is pd.NA or x != x else f"{x:.6g}" if isinstance(x, float) else str(list(x)) if hasattr(x, "__len__") and not isinstance(x, str) else str(x) for x in r) for r in rows)
 
 
 @pytest.fixture(scope="module")
