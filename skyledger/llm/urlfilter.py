@@ -230,13 +230,16 @@ def sampled(urls: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return some.distinct().orderBy("__skyledger_h", "url").limit(sample).select("url")
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """A model from (url, label): label 1 is to be blocked; of urls with both labels the greater counts."""
+def train(labelled: DataFrame, sample: int = SAMPLE, label: Column | None = None) -> Model | None:
+    """A model from (url, label): label 1 is to be blocked; of urls with both labels the greater counts.
+
+    label is worked out of the chosen urls' rows alone; by default it is the column of that name.
+    """
     host, path = host_and_path(F.col("url"))
     rows = sampled(labelled.select("url"), sample).collect()  # before any label is worked out
     chosen = labelled.sparkSession.createDataFrame(rows, "url string").withColumnRenamed("url", "__skyledger_url")  # sample rows at most
     own = labelled.join(F.broadcast(chosen), F.col("url") == F.col("__skyledger_url"), "left_semi")
-    found = own.groupBy("url").agg(F.max("label").alias("label")).filter("label is not null").select("url", host.alias("host"), path.alias("path"), "label").collect()
+    found = own.groupBy("url").agg(F.max(F.col("label") if label is None else label).alias("label")).filter("label is not null").select("url", host.alias("host"), path.alias("path"), "label").collect()
     found.sort()
     labels = np.array([r.label for r in found], float)
     if len(set(labels.tolist())) < 2:
@@ -270,10 +273,9 @@ def judged(pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = Non
     for r in rules:
         verdict = F.when(F.col("rule") == r.text, F.lit(r.verdict)).otherwise(verdict)
     found = found.withColumn("rule_verdict", verdict)
-    if labelled is None:
-        labelled = pages.select("url", junk_page(F.col("html")).alias("label"))
-    shared = pages.sparkSession.sparkContext.broadcast(train(labelled))  # a few dozen trees, and rates of at most three suffixes a url
+    model = train(pages.select("url", "html"), label=junk_page(F.col("html"))) if labelled is None else train(labelled)
+    shared = pages.sparkSession.sparkContext.broadcast(model)  # a few dozen trees, and rates of at most three suffixes a url
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
     scored = found.mapInArrow(_score(shared), f"{schema}, {SCORE} double")
-    model = F.when(F.col(SCORE) >= threshold, F.lit("block")).otherwise(F.lit("allow"))
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", model).alias("verdict"), F.col(SCORE).alias("score"))
+    judged_so = F.when(F.col(SCORE) >= threshold, F.lit("block")).otherwise(F.lit("allow"))
+    return scored.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", judged_so).alias("verdict"), F.col(SCORE).alias("score"))
