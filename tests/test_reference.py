@@ -16,9 +16,16 @@ from skyledger.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 
+def shown(x):
+    if hasattr(x, "__len__") and not isinstance(x, str):
+        return str(list(x))
+    if x is None or x is pd.NA or x != x:
+        return ""
+    return f"{x:.6g}" if isinstance(x, float) else str(x)
+
+
 def values(frame):
-    rows = frame[sorted(frame.columns)].itertuples(index=False)
-    return sorted(tuple("" if x is None or x is pd.NA or x != x else f"{x:.6g}" if isinstance(x, float) else str(list(x)) if hasattr(x, "__len__") and not isinstance(x, str) else str(x) for x in r) for r in rows)
+    return sorted(tuple(map(shown, r)) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
 
 @pytest.fixture(scope="module")
