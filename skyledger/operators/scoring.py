@@ -153,10 +153,15 @@ def most_suspicious(stale: DataFrame, top: int = 20) -> DataFrame:
     return stale.filter("suspicious").orderBy(F.desc("stale"), F.desc("field_errors"), "file").limit(top)
 
 
-def reading_quality(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows (*by, confidence, critical) -> (*by, n, confidence, low, reason): whether a reading is worth a closer look."""
-    c = F.coalesce("confidence", F.lit(0.5))
-    told = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(c).alias("confidence"), F.avg((c < 0.5).cast("double")).alias("weak"), F.avg(F.coalesce("critical", F.lit(False)).cast("double")).alias("critical"))
+def reading_quality(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """rows (*by, order, confidence, critical) -> (*by, n, confidence, low, reason): whether a reading is worth a closer look.
+
+    Confidences are added one by one by ``order`` (give a total one), so the last bits of their mean do not hang on how the rows are dealt.
+    """
+    upto = F.sum("__c").over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    summed = rows.withColumn("__c", F.coalesce("confidence", F.lit(0.5))).withColumn("__upto", upto)
+    n, critical = F.count("*"), F.coalesce("critical", F.lit(False)).cast("double")
+    told = summed.groupBy(*by).agg(n.alias("n"), (F.max_by("__upto", order) / n).alias("confidence"), F.avg((F.col("__c") < 0.5).cast("double")).alias("weak"), F.avg(critical).alias("critical"))
     whole = lambda x: round_half_up(x * 100).cast("long").cast("string")
     reason = (
         F.when(F.col("n") < 5, F.concat(F.lit("Too few rows extracted ("), F.col("n").cast("string"), F.lit(")")))

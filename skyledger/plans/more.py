@@ -140,10 +140,10 @@ def label_audit(spark, sf):
  SELECT user_id, n, round(confidence, 6) AS confidence, CASE WHEN n < 5 THEN 'few' WHEN confidence < 0.45 THEN 'confidence' WHEN weak > 0.3 THEN 'weak' WHEN crit > 0.2 THEN 'critical' ELSE '' END AS why FROM s""")
 def reading_quality(spark, sf):
     n = F.col("event_id")
-    rows = _t(spark, sf, "events").select("user_id", F.when(n % 4 == 0, F.lit(None)).otherwise((n % 100) / 100.0).alias("confidence"), (n % 6 == 0).alias("critical"))
+    rows = _t(spark, sf, "events").select("user_id", "event_id", F.when(n % 4 == 0, F.lit(None)).otherwise((n % 100) / 100.0).alias("confidence"), (n % 6 == 0).alias("critical"))
     r = F.col("reason")
     why = F.when(r.startswith("Too few"), "few").when(r.startswith("Low"), "confidence").when(r.endswith("low confidence"), "weak").when(r.endswith("failures"), "critical").otherwise("")
-    return scoring.reading_quality(rows, ["user_id"]).select("user_id", "n", F.round("confidence", 6).alias("confidence"), why.alias("why"))
+    return scoring.reading_quality(rows, ["user_id"], "event_id").select("user_id", "n", (F.floor(F.col("confidence") * 1e6 + 0.5) / 1e6).alias("confidence"), why.alias("why"))
 
 
 def _run(spark, sf, m):

@@ -312,6 +312,18 @@ def test_sections_are_compared(spark):
     assert scoring.row_scores(only, keys, fields, fields).first().row_matches == 0
 
 
+def test_reading_quality_adds_in_order(spark):
+    many = [(u, n, (None, 0.1, 0.2, 0.3, 0.7)[(n * 7 + u) % 5], n % 9 == 0) for u in range(20) for n in range(101)]
+    want = {}
+    for u, _, c, _ in many:
+        want[u] = want.get(u, 0.0) + (0.5 if c is None else c)
+    for seed in range(3):
+        random.Random(seed).shuffle(many)
+        rows = spark.createDataFrame(many, "u int, at int, confidence double, critical boolean").repartition(seed + 2)
+        found = scoring.reading_quality(rows, ["u"], "at").collect()
+        assert {r.u: (r.n, r.confidence) for r in found} == {u: (101, total / 101) for u, total in want.items()}
+
+
 def test_long_alignments_are_least_cost_too():
     rng = random.Random(9)
     a = [(rng.randint(0, 3), rng.randint(0, 3), rng.randint(0, 3)) for _ in range(120)]
