@@ -55,28 +55,69 @@ def with_zeros(df: DataFrame, column: str, domain: list[str]) -> DataFrame:
 
 
 def item_sets(rows: DataFrame, group: str, item: str) -> DataFrame:
-    """(r, items, members): groups of equal item sets with their least member; items are (f, i), the rare ones first."""
-    items = rows.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    ranked = items.join(items.groupBy("i").agg(F.count("*").alias("f")), "i")
-    sets = ranked.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("f", "i"))).alias("items"))
+    """(r, items, members): groups of equal item sets with their least member; items are 128 bits of the items' SHA-256, sorted."""
+    digest = F.unhex(F.substring(F.sha2(F.col(item).cast("string").cast("binary"), 256), 1, 32))
+    sets = rows.select(F.col(group).alias("g"), digest.alias("i")).groupBy("g").agg(F.sort_array(F.collect_set("i")).alias("items"))
     return sets.groupBy("items").agg(F.min("g").alias("r"), F.sort_array(F.collect_list("g")).alias("members"))
 
 
+#: Sets that meet at one place of an item, about: the sets that hold an item are dealt over as many places as that takes.
+MEETING = 1024
+
+
+def _shared_items(sets: DataFrame) -> DataFrame:
+    """(r, n, ids, x) of item_sets(): their items (f, i) that f sets hold, two at least, the rare ones first, and these alone as ids; n counts all items."""
+    items = sets.select("r", F.size("items").alias("n"), F.explode("items").alias("i"))
+    often = items.groupBy("i").agg(F.count("*").alias("f")).filter("f > 1")
+    held = items.join(often, "i").groupBy("r").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "i"))).alias("x"))
+    return held.withColumn("ids", F.transform("x", lambda e: e["i"]))
+
+
+def _rarest(held: DataFrame, share: float) -> DataFrame:
+    """(s, ns, si, f, i): the rarest n - ceil(share * n) + 1 items of each set, of which one is in any set that shares enough; items of no other set are left out."""
+    prefix = F.col("n") - F.greatest(F.lit(1), F.ceil(F.col("n") * share - 1e-9)).cast("int") + 1
+    among = F.slice("x", 1, F.greatest(F.lit(0), prefix - (F.col("n") - F.size("x"))))
+    return held.select(F.col("r").alias("s"), F.col("n").alias("ns"), F.col("ids").alias("si"), F.explode(among).alias("e")).select("s", "ns", "si", "e.f", "e.i")
+
+
+def _meetings(rarest: DataFrame, held: DataFrame, share: float) -> DataFrame:
+    """(a, b, common, share) of the rarest items of sets and all sets that hold them.
+
+    A pair is compared where it meets and kept at its rarest common item, so no pair is shuffled, only the sets' shared items.
+    """
+    places = lambda f: (F.floor(f / MEETING) + 1).cast("int")
+    small = rarest.withColumn("place", F.explode(F.sequence(F.lit(0), places(F.col("f")) - 1))).drop("f")
+    large = held.select(F.col("r").alias("l"), F.col("n").alias("nl"), F.col("ids").alias("li"), F.explode("x").alias("e"))
+    large = large.select("l", "nl", "li", "e.i", F.pmod(F.xxhash64("l"), places(F.col("e.f"))).cast("int").alias("place"))
+    both = F.when(F.size("si") == 1, F.col("si")).otherwise(F.array_intersect("si", "li"))
+    met = small.join(large, ["i", "place"]).filter("ns < nl or ns = nl and s < l").select("s", "l", "ns", "i", both.alias("both"))
+    found = met.filter((F.get("both", 0) == F.col("i")) & (F.size("both") / F.col("ns") >= share))
+    common = F.size("both").cast("long")
+    return found.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), common.alias("common"), (common / F.col("ns")).alias("share"))
+
+
 def set_pairs(sets: DataFrame, share: float = 0.5) -> DataFrame:
     """(a, b, common, share) of item_sets() that share at least ``share`` of the smaller one's items.
 
     A smaller set that shares enough has a common item among its rarest n - ceil(share * n) + 1:
-    only those meet the other sets' items, and each pair found is then compared whole. So an
-    item that very many sets hold makes pairs only where it is rare for its own set.
+    only those meet the other sets that hold them. So an item that very many sets hold makes
+    pairs only where it is rare for its own set.
+    """
+    held = _shared_items(sets)
+    return _meetings(_rarest(held, share), held, share)
+
+
+def set_links(sets: DataFrame, share: float = 0.5) -> DataFrame:
+    """(a, b): pairs of set_pairs(), few of them, that tie together what all of them tie together.
+
+    A set for which one common item is enough is a pair with every larger set that holds one of its items. So the least such set of an item
+    is linked to all others that hold it, one row each, and two sets with this item need no further link; other items meet as in set_pairs().
     """
-    n = F.size("items")
-    prefix = n - F.greatest(F.lit(1), F.ceil(n * share - 1e-9)).cast("int") + 1
-    small = sets.select(F.col("r").alias("s"), n.alias("ns"), F.explode(F.slice("items", 1, prefix)).alias("x")).select("s", "ns", "x.i")
-    large = sets.select(F.col("r").alias("l"), n.alias("nl"), F.explode("items").alias("x")).select("l", "nl", "x.i")
-    met = small.join(large, "i").filter("ns < nl or ns = nl and s < l").select("s", "l").distinct()
-    of = lambda key, name: sets.select(F.col("r").alias(key), F.transform("items", lambda x: x["i"]).alias(name))
-    both = met.join(of("s", "si"), "s").join(of("l", "li"), "l").withColumn("common", F.size(F.array_intersect("si", "li")).cast("long"))
-    return both.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), "common", (F.col("common") / F.size("si")).alias("share")).filter(F.col("share") >= share)
+    held = _shared_items(sets)
+    each = held.select("r", "n", F.explode(F.col("ids")).alias("i"))
+    hubs = each.filter(F.lit(1) / F.col("n") >= share).groupBy("i").agg(F.min(F.struct("n", "r")).alias("hub"))
+    stars = each.join(hubs, "i").filter("hub.r <> r").select(F.col("hub.r").alias("a"), F.col("r").alias("b"))
+    return stars.unionByName(_meetings(_rarest(held, share).join(hubs.select("i"), "i", "left_anti"), held, share).select("a", "b"))
 
 
 def set_members(sets: DataFrame) -> DataFrame:

@@ -112,6 +112,46 @@ def test_near_dups_take_short_lines(spark, folder):
     assert {r.node: r.cluster for r in catalog.queries()["near_dup_clusters"](spark, sf).collect()} == least
 
 
+def components(nodes, pairs):
+    least = {x: x for x in nodes}
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        least[max(a, b)] = min(a, b)
+    return {x: root(x) for x in nodes}
+
+
+def test_a_common_line_makes_few_links_and_no_pair_is_shuffled(spark):
+    rng = random.Random(8)
+    sets = {g: {"common"} | {f"of {g}"} for g in range(0, 150)} | {g: {"common", *(f"rare {rng.randint(0, 40)}" for _ in range(4))} for g in range(150, 250)}
+    sets |= {g: {f"rare {rng.randint(0, 60)}" for _ in range(rng.randint(1, 5))} for g in range(250, 400)} | {g: {f"apart {g // 3} {k}" for k in rng.sample(range(6), 4)} for g in range(400, 460)}
+    found = relational.item_sets(spark.createDataFrame([(g, x) for g, s in sets.items() for x in s], "g long, x string"), "g", "x")
+    stands = {r.r: sets[r.r] for r in found.collect()}
+    want = {(a, b): len(stands[a] & stands[b]) for a in stands for b in stands if a < b and 2 * len(stands[a] & stands[b]) >= min(len(stands[a]), len(stands[b]))}
+    pairs = relational.set_pairs(found)
+    assert {(r.a, r.b): r.common for r in pairs.collect()} == want and pairs.count() == len(want)
+    # texts go no further than the first step, and pairs stay where they meet
+    plan = pairs._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert all(len(i) == 16 for r in found.collect() for i in r["items"]) and not re.search(r"hashpartitioning\((s|l)#", plan)
+    links = {(min(r), max(r)) for r in relational.set_links(found).collect()}
+    assert links <= want.keys() and components(stands, links) == components(stands, want)
+    assert len(want) > 20_000 and len(links) < 2_000
+
+
+def test_pairs_of_an_item_meet_at_many_places(spark, monkeypatch):
+    monkeypatch.setattr(relational, "MEETING", 7)
+    sets = {g: {"common", f"of {g}", *(["also common"] if g % 2 else [])} for g in range(60)}
+    found = relational.item_sets(spark.createDataFrame([(g, x) for g, s in sets.items() for x in s], "g long, x string"), "g", "x")
+    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and 2 * len(sets[a] & sets[b]) >= min(len(sets[a]), len(sets[b]))}
+    got = relational.set_pairs(found).collect()
+    assert {(r.a, r.b): r.common for r in got} == want and len(got) == len(want)
+
+
 def test_align_and_shape_take_whole_texts(spark, folder):
     turns = [(2, t, "user", x) for t, x in enumerate(["same start, one", "same start,  two", "same start, three", "same start, four", "same start, five", "same start, six", "same start, seven"])]
     brands = [(1, "Brand#16"), (2, "ABcd#7"), (3, None), (4, "")]
