@@ -215,9 +215,10 @@ def near_dup_members(spark, sf):
 @_query(f"""WITH RECURSIVE {_LINES}, e AS (SELECT a, b FROM q UNION SELECT b, a FROM q), t AS (SELECT r AS node, r AS c FROM c UNION SELECT t.node, e.b FROM t JOIN e ON t.c = e.a),
  k AS (SELECT node, min(c) AS cluster FROM t GROUP BY node) SELECT documents.doc_id AS node, coalesce(cluster, documents.doc_id) AS cluster FROM documents LEFT JOIN m USING (doc_id) LEFT JOIN k ON k.node = m.r""")
 def near_dup_clusters(spark, sf):
-    """Clusters of documents over near_dup_pairs; documents of the same lines go through the rounds as one."""
-    sets = _line_sets(spark, sf)
-    found = curation.clusters(sets.select(F.col("r").alias("node")), relational.set_pairs(sets)).withColumnRenamed("node", "r")
+    """Clusters of documents over near_dup_pairs; documents of the same lines go through the rounds as one, and links stand in for all pairs of a common line."""
+    curation.ready_checkpoints(spark)
+    sets = _line_sets(spark, sf).checkpoint()
+    found = curation.clusters(sets.select(F.col("r").alias("node")), relational.set_links(sets)).withColumnRenamed("node", "r")
     of = relational.set_members(sets).withColumnRenamed("g", "node").join(found, "r").select("node", "cluster")
     return _t(spark, sf, "documents").select(F.col("doc_id").alias("node")).join(of, "node", "left").select("node", F.coalesce("cluster", "node").alias("cluster"))
 
