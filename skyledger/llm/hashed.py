@@ -123,6 +123,13 @@ class Scorer:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.features >> np.uint32(32 - _FILTER_BITS)] = True
 
+    def logits(self, rows: list[bytes]) -> np.ndarray:
+        """Log odds of packed() rows."""
+        out = np.full(len(rows), float(self.bias))
+        for i, row in enumerate(rows if len(self.features) else []):
+            out[i] += self.weights[np.isin(self.features, np.frombuffer(row, np.uint32))].sum()
+        return out
+
     def scores(self, words: Words, n: int, prefixes: tuple[int, ...] = PREFIXES) -> np.ndarray:
         rows, features = [], []
         for row, feature in occurrences(words, prefixes):

@@ -342,6 +342,28 @@ def test_toxicity_holds_out(spark):
     assert toxicity.train(table.select("doc_id", "text"), table.filter("toxic = 0").select("doc_id", "toxic")) is None
 
 
+def test_toxicity_catches_at_its_threshold_whatever_the_sample():
+    import numpy as np
+
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        text = lambda k: np.unique(np.concatenate([rng.integers(1000, 1400, 40), rng.choice(150, k, replace=False)]).astype(np.uint32)).tobytes()  # noqa: E731, B023
+        toxic, clean, other = [text(3) for _ in range(900)], [text(0) for _ in range(900)], [text(0 if i % 10 else 3) for i in range(2500)]
+        model = toxicity.fit_scaled(toxic, other, clean, 0.1)
+        new, plain = (hashed.sigmoid(model.logits([text(k) for _ in range(n)])) for k, n in ((3, 400), (0, 800)))
+        # the bare risk catches 0.96 to 0.983 of such texts
+        assert (new >= toxicity.THRESHOLD).mean() > 0.985 and (plain < toxicity.THRESHOLD).mean() > 0.99
+        few = toxicity.fit_scaled(toxic[:20], other, clean[:5], 0.1)  # too few known texts to set a scale
+        assert len(few.logits(new_texts := [text(3), text(0)])) == len(new_texts) and np.isfinite(few.logits(new_texts)).all()
+    x = np.linspace(-4, 4, 401)
+    p = 1 / (1 + np.exp(-(2 * x + 1)))
+    drawn = np.random.default_rng(1).random((50, 401)) < p
+    every = np.tile(x, (50, 1))
+    a, b = toxicity.scale(every[drawn], every[~drawn], drawn.mean() / (drawn.mean() + toxicity.MISSED * (1 - drawn.mean())))
+    assert abs(a - 2) < 0.15 and abs(b - 1) < 0.15
+    assert toxicity.scale(x[:3], x, 0.5) == (1.0, 0.0) and toxicity.scale(-x[x > 0], x[x > 0], 0.5) == (1.0, 0.0)
+
+
 def auc(labels, scores):
     order = sorted(range(len(labels)), key=lambda i: scores[i])
     ranks = [r + 1 for r, i in enumerate(order) if labels[i]]
